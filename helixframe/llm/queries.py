@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import langid, quality
+from . import langid, packing, quality, tokens
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
+        "op2_tokens": tokens.op2_tokens,
         "op7_quality": quality.op7_quality,
+        "op9_packing": packing.op9_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+    }
