@@ -58,3 +58,15 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     offsets = np.frombuffer(at, np.int64 if wide else np.int32)[column.offset : column.offset + n + 1].astype(np.int64) if n else np.zeros(1, np.int64)
     raw = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
     return raw, offsets
+
+
+def hash_sample(rows: DataFrame, id_col: str, salt: str, size: int) -> DataFrame:
+    """About size rows at most (size * 1.25 expected, 2 * size in no case exceeded), those whose id has a small hash.
+
+    One cheap count sets the share; no task and no driver ever holds more than the sample. The same rows come out at
+    every partitioning. Adds column `u`, the hash; rows with a null id are left out.
+    """
+    rows = rows.where(F.col(id_col).isNotNull())
+    share = min(1.0, 1.25 * size / max(1, rows.count()))
+    u = F.pmod(F.xxhash64(F.col(id_col).cast("string"), F.lit(salt)), F.lit(1 << 31))
+    return rows.withColumn("u", u).where(F.col("u") < int(share * (1 << 31))).limit(2 * size)

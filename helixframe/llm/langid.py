@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, softmax, window_logits, window_starts, windows
-from .common import held_out, small_batches, table, text_bytes
+from .common import hash_sample, held_out, small_batches, table, text_bytes
 
 WINDOW = 256
 SAMPLE_ROWS = 1600
@@ -57,13 +57,8 @@ class LanguageModel:
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = 6) -> LanguageModel:
     """Train on at most `sample_rows` rows with a label, those with the smallest hash of their id."""
-    rows = (
-        labelled.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.xxhash64(F.col(id_col).cast("string"), F.lit("language")).alias("h"), F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.col(text_col).alias("t"))
-        .orderBy("h", "i")
-        .limit(sample_rows)
-        .collect()
-    )
+    rows = labelled.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.col("y").isNotNull())
+    rows = sorted(hash_sample(rows, "i", "language", sample_rows).collect(), key=lambda r: (r.u, r.i, r.t))[:sample_rows]
     labels = sorted({r.y for r in rows})
     if not labels:
         return LanguageModel([], None)
@@ -73,7 +68,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id
         start, size, _ = window_starts(np.array([0, len(data)]), WINDOW, WINDOW)
         pick = np.unique(np.linspace(0, len(start) - 1, WINDOWS_PER_ROW).astype(int))
         # Windows cut short teach the network what short texts look like.
-        cut = np.where(np.arange(len(pick)) % 2 == 0, size[pick], np.minimum(size[pick], 24 + (r.h % 97)))
+        cut = np.where(np.arange(len(pick)) % 2 == 0, size[pick], np.minimum(size[pick], 24 + (r.u % 97)))
         xs.append(windows(data, start[pick], cut, WINDOW))
         ys += [labels.index(r.y)] * len(pick)
     y = np.array(ys)

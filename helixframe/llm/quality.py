@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, window_logits, window_starts, windows
-from .common import held_out, small_batches, table, text_bytes
+from .common import hash_sample, held_out, small_batches, table, text_bytes
 
 CHUNK, STRIDE = 512, 384
 SAMPLE_ROWS = 1600
@@ -43,17 +43,18 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.features(raw, offsets, tables) @ self.mix, -30, 30)))
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = 6) -> QualityModel:
-    """Train on at most `sample_rows` labelled rows with the smallest hash of their id, half of them of each label if there are enough."""
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = 6) -> QualityModel:
+    """Train on at most `sample_rows` labelled rows with a small hash of their id, half of them of each label if there are enough."""
     rows = []
-    known = labelled.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.xxhash64(F.col(id_col).cast("string"), F.lit("quality")).alias("h"), F.col(id_col).alias("i"), F.col(label_col).cast("int").alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("t")
-    )
     for label in (0, 1):
-        rows += known.where(F.col("y") == label).orderBy("h", "i").limit(sample_rows // 2).collect()
+        # A bounded sample of ids, which is why it may be broadcast to find their texts.
+        ids = hash_sample(labels.where(F.col(label_col) == label).select(F.col(id_col).alias("i")), "i", "quality", sample_rows // 2)
+        texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+        found = texts.join(F.broadcast(ids), "i").limit(2 * sample_rows).withColumn("y", F.lit(label)).collect()
+        rows += sorted(found, key=lambda r: (r.u, r.i, r.t))[: sample_rows // 2]
     if len({r.y for r in rows}) < 2:
         return QualityModel(None, float(np.mean([r.y for r in rows])) if rows else 0.5, None)
-    rows.sort(key=lambda r: (r.h, r.i))
+    rows.sort(key=lambda r: (r.u, r.i, r.t))
     xs, ys = [], []
     for r in rows:
         data = np.frombuffer(r.t.encode(), np.uint8)
@@ -93,6 +94,6 @@ def score(docs: DataFrame, model: QualityModel, text_col: str = "text", id_col:
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    known = docs.select("doc_id", "text").join(labels.select("doc_id", "quality"), "doc_id").where(~held_out("doc_id", 3, 1))
-    out = score(docs, fit(known))
+    model = fit(docs, labels.where(~held_out("doc_id", 3, 1)))
+    out = score(docs, model)
     return out.select("doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
