@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import langid, packing, quality, simhash, tokens
+from . import decontam, langid, packing, quality, simhash, tokens
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
         "op2_tokens": tokens.op2_tokens,
+        "op4_decontaminate": decontam.op4_decontaminate,
         "op5_simhash": simhash.op5_simhash,
         "op7_quality": quality.op7_quality,
         "op9_packing": packing.op9_packing,
@@ -17,4 +18,5 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op4_decontaminate": decontam.ORACLE_SQL,
     }
