@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, packing, quality, simhash, tokens
+from . import decontam, langid, lineclean, packing, quality, secretscan, simhash, tokens
 
 
 def queries() -> dict:
@@ -11,7 +11,9 @@ def queries() -> dict:
         "op2_tokens": tokens.op2_tokens,
         "op4_decontaminate": decontam.op4_decontaminate,
         "op5_simhash": simhash.op5_simhash,
+        "op6_lines": lineclean.op6_lines,
         "op7_quality": quality.op7_quality,
+        "op8_secrets": secretscan.op8_secrets,
         "op9_packing": packing.op9_packing,
     }
 
@@ -19,4 +21,5 @@ def queries() -> dict:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontam.ORACLE_SQL,
+        "op6_lines": lineclean.ORACLE_SQL,
     }
