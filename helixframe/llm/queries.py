@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lineclean, packing, quality, secretscan, simhash, tokens
+from . import decontam, langid, lineclean, packing, quality, secretscan, simhash, tokens, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_langid": langid.op1_langid,
         "op2_tokens": tokens.op2_tokens,
+        "op3_toxicity": toxicity.op3_toxicity,
         "op4_decontaminate": decontam.op4_decontaminate,
         "op5_simhash": simhash.op5_simhash,
         "op6_lines": lineclean.op6_lines,
