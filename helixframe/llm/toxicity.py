@@ -24,7 +24,7 @@ from .common import hash_sample, held_out, small_batches, table
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_SIZE, CHAR_SIZE, WORD_ROWS, CHAR_ROWS = 8, 8, 8, 1 << 14, 1 << 12
-SAMPLE_ROWS = 1200
+SAMPLE_ROWS = 2000
 #: Windows of one labelled text that training looks at.
 TRAIN_WINDOWS = 32
 REMEMBERED = 250_000
@@ -201,7 +201,7 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(f @ self.mix, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 400, docs_per_step: int = 24, rate: float = 0.01, seed: int = 5) -> ToxicityModel:
+def train(texts: list[str], labels: np.ndarray, steps: int = 500, docs_per_step: int = 24, rate: float = 0.01, seed: int = 5) -> ToxicityModel:
     rng, net = np.random.default_rng(seed), BiGRU(seed)
     words = [t.split() for t in texts]
     names = {w: i for i, w in enumerate(dict.fromkeys(w for x in words for w in x))}
