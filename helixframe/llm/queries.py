@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lineclean, packing, quality, secretscan, simhash, tokens, toxicity
+from . import decontam, langid, lineclean, packing, quality, secretscan, simhash, substrings, tokens, toxicity
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_quality": quality.op7_quality,
         "op8_secrets": secretscan.op8_secrets,
         "op9_packing": packing.op9_packing,
+        "op10_substrings": substrings.op10_substrings,
     }
 
 
