@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import table
+from .common import materialize, table
 
 WINDOW = 10
 MAX_BROADCAST = 100_000
@@ -91,7 +91,8 @@ def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_co
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the rows that hold a window of an item; all columns stay as they are."""
-    bad = contamination(docs, items, size, text_col, id_col).select(F.col("doc_id").alias("__i"), F.col("h").alias("__k"))
+    # Written first: with its size known, Spark broadcasts it if it is small and shuffles the texts only if it is not.
+    bad = materialize(contamination(docs, items, size, text_col, id_col).select(F.col("doc_id").alias("__i"), F.col("h").alias("__k")))
     return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__k")), "left_anti")
 
 
