@@ -35,9 +35,9 @@ def uncollated(seq: Column) -> Column:
     return F.translate(seq, "Z", "N")
 
 
-def derived(text: Column) -> Column:
-    """The sequence that lies in a text: its letters A, C, G, T and N in either case, in upper case."""
-    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^ACGTNacgtn]", ""))
+def derived(text: Column, unknown: bool = True) -> Column:
+    """The sequence that lies in a text: its letters A, C, G, T (and N, if unknown) in either case, in upper case."""
+    return F.upper(F.regexp_replace(F.coalesce(text, F.lit("")), "[^ACGTNacgtn]" if unknown else "[^ACGTacgt]", ""))
 
 
 def parse_size(text: str) -> int:

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.alphabet import encode, reverse_complement
-from .operators import exact, kmers
+from .functions.dp import Scoring
+from .operators import align, exact, kmers, posthoc
 from .operators.index import BLOCK, Index
-from .plans.lineage import materialize
+from .plans.lineage import materialize, shared_dir
+from .sources import formats
 from .sources.sequences import both_strands, from_table, turns
+from .streaming.search import stream_mem
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -180,9 +183,96 @@ def mem_pos(spark, sf_dir):
     return longs(p.select("name", "st", "en", "cnt", "i", "p.ctg", "p.strand", "p.pos"), "st", "en", "i")
 
 
+def plain_pair(spark, sf_dir, of: str = "true") -> tuple[DataFrame, DataFrame]:
+    """Queries and subject without N, which never scores as a match."""
+    q = from_table(table(spark, sf_dir, "benchmark"), "item_id", unknown=False).select("name", "seq")
+    return q, both_strands(from_table(table(spark, sf_dir, "documents").where(of), "doc_id", unknown=False))
+
+
+def sw_local(spark, sf_dir):
+    return align.sw(*plain_pair(spark, sf_dir))
+
+
+def sw_e2e(spark, sf_dir):
+    return align.sw(*plain_pair(spark, sf_dir), end_to_end=True)
+
+
+def all_e2e(spark, sf_dir):
+    heads, _ = align.all_e2e(*plain_pair(spark, sf_dir), both=True)
+    return heads
+
+
+def all_e2e_hits(spark, sf_dir):
+    _, rows = align.all_e2e(*plain_pair(spark, sf_dir), both=True)
+    return rows
+
+
+def unmapped(spark, sf_dir):
+    out = align.sw(*plain_pair(spark, sf_dir), unmapped=True)
+    return out.where("tname is null").select("qname", "qlen")
+
+
+#: Windows of the queries for the tools below; the scores that they are held to.
+K, STEP, WINDOW_SCORING = 32, 4, Scoring(min_score=16)
+
+
+def allele_windows(spark, sf_dir, of: str = "true") -> tuple[DataFrame, DataFrame]:
+    return align.window_hits(*plain_pair(spark, sf_dir, of), K, STEP, WINDOW_SCORING, 11)
+
+
+def hapdiv(spark, sf_dir):
+    return longs(align.hapdiv(*plain_pair(spark, sf_dir), K, STEP, WINDOW_SCORING, 11), "st", "en")
+
+
+def mapflt(spark, sf_dir):
+    return posthoc.mapflt(*allele_windows(spark, sf_dir), 2, 5, 10)
+
+
+def mapflt2(spark, sf_dir):
+    windows, ref = allele_windows(spark, sf_dir, "source = 'src0'")
+    _, pan = allele_windows(spark, sf_dir)
+    return posthoc.mapflt2(windows, ref, pan, 4)
+
+
+def uniqmer(spark, sf_dir):
+    return posthoc.uniqmer(allele_windows(spark, sf_dir)[1], 5, 2, 50)
+
+
+def call(spark, sf_dir):
+    return posthoc.call(*allele_windows(spark, sf_dir), 2, conflicts=True)
+
+
+def getsnp(spark, sf_dir):
+    return posthoc.getsnp(posthoc.call(*allele_windows(spark, sf_dir), 2, keep_single=True))
+
+
+def mem_stream(spark, sf_dir):
+    """mem over the benchmark table read as a stream of files, its results appended batch by batch."""
+    schema = table(spark, sf_dir, "benchmark").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet*")
+    queries = from_table(rows, "item_id").select("name", "seq")
+    return longs(stream_mem(queries, subject(spark, sf_dir), 19), "st", "en")
+
+
+def e2e_text(spark, sf_dir):
+    """all_e2e written as text records and read back."""
+    heads, rows = align.all_e2e(*plain_pair(spark, sf_dir), both=True)
+    path = shared_dir(spark)
+    formats.write_e2e(heads, rows, path)
+    return formats.read_e2e(spark, path)
+
+
+def vcf_text(spark, sf_dir):
+    """call written as VCF text and read back."""
+    path = shared_dir(spark)
+    formats.write_vcf(posthoc.call(*allele_windows(spark, sf_dir), 2), path)
+    return formats.read_vcf(spark, path)
+
+
 QUERIES = [
     nt6_encode, revcomp, fa2line, fa2kmer, kount, kount_multi, stat_symbols, sa_order, bwt, plain_bwt, bwt_runs, stat, acc, lf, rank, get, rlo_bwt, rclo_bwt,
     ssa_sample, merge, locate_rows, count, locate, suffix, presence, mem, mem_minocc, mem_gap, mem_cov, mem_pos,
+    sw_local, sw_e2e, all_e2e, all_e2e_hits, unmapped, hapdiv, mapflt, mapflt2, uniqmer, call, getsnp, mem_stream, e2e_text, vcf_text,
 ]
 
 
@@ -281,6 +371,7 @@ def oracle_sql() -> dict[str, str]:
         "SELECT q.name, CAST(length(seq) - coalesce(n, 0) AS BIGINT) AS st, CAST(length(seq) AS BIGINT) AS qlen, CAST(coalesce(cnt, 0) AS BIGINT) AS cnt FROM q LEFT JOIN k ON q.name = k.name",
         "presence": extensions(31) + " SELECT DISTINCT name FROM hit",
         "mem": smems(19, 1) + " " + MATCHES,
+        "mem_stream": smems(19, 1) + " " + MATCHES,
         "mem_minocc": smems(15, 3) + " " + MATCHES,
         "mem_cov": smems(19, 1) + ", y AS (SELECT DISTINCT name, unnest(range(st, en)) AS p FROM m) SELECT q.name, CAST(length(seq) AS BIGINT) AS qlen, count(*) AS cov FROM y JOIN q ON y.name = q.name GROUP BY ALL",
         "mem_gap": smems(19, 1) + ", y AS (SELECT DISTINCT name, unnest(range(st, en)) AS p FROM m), z AS (SELECT name, length(seq) AS qlen, unnest(range(0, length(seq))) AS p FROM q), "

@@ -9,9 +9,9 @@ from pyspark.sql import Window
 from ..functions.alphabet import derived, normalize, reverse_complement
 
 
-def from_table(df: DataFrame, id_col: str, text_col: str = "text") -> DataFrame:
-    """(src_id, name, seq) of a table with a text column. src_id is id_col, name its text."""
-    return df.select(F.col(id_col).cast("long").alias("src_id"), F.col(id_col).cast("string").alias("name"), derived(F.col(text_col)).alias("seq"))
+def from_table(df: DataFrame, id_col: str, text_col: str = "text", unknown: bool = True) -> DataFrame:
+    """(src_id, name, seq) of a table with a text column. src_id is id_col, name its text; unknown: whether N is kept."""
+    return df.select(F.col(id_col).cast("long").alias("src_id"), F.col(id_col).cast("string").alias("name"), derived(F.col(text_col), unknown).alias("seq"))
 
 
 def read_fastx(spark: SparkSession, paths: str | list[str]) -> DataFrame:
