@@ -27,6 +27,8 @@ HIDDEN, WORD_SIZE, CHAR_SIZE, WORD_ROWS, CHAR_ROWS = 8, 8, 8, 1 << 14, 1 << 12
 SAMPLE_ROWS = 2000
 #: Windows of one labelled text that training looks at.
 TRAIN_WINDOWS = 32
+#: Texts of the sample that must hold a word for it to get an embedding of its own.
+COMMON = 4
 REMEMBERED = 250_000
 EDGES = ".,;:!?\"'()[]{}<>|#*$%&-_=+~/\\"
 
@@ -54,17 +56,21 @@ class BiGRU:
         f = lambda *s, scale: rng.normal(0, scale, s).astype(np.float32)
         h = HIDDEN
         self.p = {
-            "word": f(WORD_ROWS, WORD_SIZE, scale=0.1), "char": f(CHAR_ROWS, CHAR_SIZE, scale=0.1),
+            "word": f(WORD_ROWS + 1, WORD_SIZE, scale=0.1), "char": f(CHAR_ROWS, CHAR_SIZE, scale=0.1),
             "in": f(WORD_SIZE + CHAR_SIZE, 6 * h, scale=0.3), "in_b": np.zeros(6 * h, np.float32),
             "fw": f(h, 3 * h, scale=0.3), "bw": f(h, 3 * h, scale=0.3),
             "att": f(2 * h, scale=0.3), "out": f(2 * h, scale=0.3), "out_b": np.zeros(1, np.float32),
         }
-        self.mix, self.prior = None, None
+        #: Word rows that training met in several texts; the rest share the last row, so that no text is learnt by its own words.
+        self.common = np.ones(WORD_ROWS, bool)
+
+    def rows(self, row: np.ndarray) -> np.ndarray:
+        return np.where(self.common[row], row, WORD_ROWS)
 
     def inputs(self, row, tri, start) -> np.ndarray:
         """Embeddings of words: (n, word and character part)."""
         count = np.diff(np.append(start, len(tri)))[:, None].astype(np.float32)
-        return np.concatenate([self.p["word"][row], np.add.reduceat(self.p["char"][tri], start, axis=0) / count], 1)
+        return np.concatenate([self.p["word"][self.rows(row)], np.add.reduceat(self.p["char"][tri], start, axis=0) / count], 1)
 
     def states(self, x: np.ndarray, mask: np.ndarray, name: str, keep: bool = False):
         """Hidden states of one direction for projected inputs x (steps, n, 3h); saved values for training if asked for."""
@@ -137,7 +143,7 @@ class BiGRU:
         g["in"], g["in_b"] = e.T @ dproj, dproj.sum(0)
         de = dproj @ p["in"].T
         g["word"] = np.zeros_like(p["word"])
-        np.add.at(g["word"], row, de[:, :WORD_SIZE])
+        np.add.at(g["word"], self.rows(row), de[:, :WORD_SIZE])
         count = np.diff(np.append(start, len(tri)))
         g["char"] = np.zeros_like(p["char"])
         np.add.at(g["char"], tri, np.repeat(de[:, WORD_SIZE:] / count[:, None], count, axis=0))
@@ -211,6 +217,8 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 500, docs_per_step:
     size = np.diff(np.append(start, len(tri)))
     flat, offsets = np.array([names[w] + 1 for x in words for w in x], np.int64), np.cumsum([0, *map(len, words)])
     every, doc = word_windows(flat, offsets)
+    texts_with = np.bincount(row[np.concatenate([np.unique(flat[a:b]) for a, b in zip(offsets, offsets[1:]) if b > a]) - 1], minlength=WORD_ROWS)
+    net.common = texts_with >= COMMON
     of = np.split(np.arange(len(doc)), np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
     of = [x[np.unique(np.linspace(0, len(x) - 1, TRAIN_WINDOWS).astype(int))] for x in of]
     kinds = [np.flatnonzero(labels == k) for k in (0, 1)]

@@ -65,9 +65,11 @@ def test_models_held_out_accuracy(spark):
     labels = {i: (q, t) for i, q, t in duckdb.sql(f"SELECT doc_id, quality, toxic FROM '{path}/labels.parquet'").fetchall()}
     quality = [(r.score, labels[r.doc_id][0]) for r in run(spark, "op7_quality", path) if r.held_out and r.doc_id in labels]
     assert np.mean([(s >= 0.5) == y for s, y in quality]) > 0.9
-    toxic = [(r.score, labels[r.doc_id][1]) for r in run(spark, "op3_toxicity", path) if r.held_out and r.doc_id in labels]
+    path = "/root/testdata/sf0.1"  # the smaller table labels some forty texts as toxic, too few to learn from
+    labels = dict(duckdb.sql(f"SELECT doc_id, toxic FROM '{path}/labels.parquet'").fetchall())
+    toxic = [(r.score, labels[r.doc_id]) for r in run(spark, "op3_toxicity", path) if r.held_out and r.doc_id in labels]
     pairs = [(a > b) + 0.5 * (a == b) for a, x in toxic if x for b, y in toxic if not y]
-    assert np.mean(pairs) > 0.75
+    assert np.mean(pairs) > 0.9
 
 
 def test_op2_round_trip(spark, sf_dir, corpus):
@@ -226,7 +228,6 @@ def test_op8_against_brute_force(spark, sf_dir, corpus):
 
 def test_op8_novelty_and_redaction():
     spans = lambda t: [(secretscan.KINDS[k], t[a:b]) for a, k, b in secretscan.novel_spans(t, secretscan.base_spans(t))]
-    assert spans("the secret thatonreenreblethingstionwh1 thatonreenreblethingstionwh1 is told") == [] or True
     assert spans("password getElementByIdquerySelector1 addEventListener2createElement") == []
     assert spans("bearer eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9 ok") == [("novel", "eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9")]
     assert spans("nothing to see: eyJhbGciOiJIUzI1NiIsInR5cCI6IkpXVCJ9") == []
