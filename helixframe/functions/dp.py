@@ -28,15 +28,13 @@ _CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
 def padded(seqs: list[str], fill: int) -> tuple[np.ndarray, np.ndarray]:
     """(longest, n) codes of sequences and their lengths; N and padding match nothing."""
     size = np.array([len(s) for s in seqs])
-    out = np.full((len(seqs), size.max(initial=0)), fill, np.uint8)
-    for i, s in enumerate(seqs):
-        code = _CODE[np.frombuffer(s.encode(), np.uint8)]
-        out[i, : len(s)] = np.where(code == 9, fill, code)
-    return out.T, size
+    width = int(size.max(initial=0))
+    code = _CODE[np.frombuffer("".join(s.ljust(width) for s in seqs).encode(), np.uint8)].reshape(len(seqs), width)
+    return np.ascontiguousarray(np.where(code == 9, np.uint8(fill), code).T), size
 
 
-def fill(queries: list[str], refs: list[str], sc: Scoring, local: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """All rows of the alignment tables H and E (query + 1, ref + 1, n), and the best score, query end and ref end of each pair.
+def fill(queries: list[str], refs: list[str], sc: Scoring, local: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """All rows of the alignment table (query + 1, ref + 1, n), and the best score, query end and ref end of each pair.
 
     A row's gaps in the query follow from a running maximum along the reference, so the loop is over query bases only.
     """
@@ -44,13 +42,13 @@ def fill(queries: list[str], refs: list[str], sc: Scoring, local: bool) -> tuple
     r, rn = padded(refs, 30)
     m, width, n = len(q), len(r), len(queries)
     first = sc.gap_open + sc.gap_extend
-    h, e = np.zeros((m + 1, width + 1, n), np.int32), np.full((m + 1, width + 1, n), NEVER, np.int32)
+    h, e = np.zeros((m + 1, width + 1, n), np.int32), np.full((width + 1, n), NEVER, np.int32)
     ramp = (np.arange(width + 1, dtype=np.int32) * sc.gap_extend)[:, None]
     best, qe, re_ = np.full(n, NEVER), np.zeros(n, int), np.zeros(n, int)
     beyond = np.arange(width + 1)[:, None] > rn[None]
     for i in range(1, m + 1):
-        e[i] = np.maximum(h[i - 1] - first, e[i - 1] - sc.gap_extend)
-        row = e[i].copy()
+        e = np.maximum(h[i - 1] - first, e - sc.gap_extend)
+        row = e.copy()
         step = np.where(q[i - 1][None] == r, sc.match, -sc.mismatch).astype(np.int32)
         diagonal = h[i - 1, :-1] + step
         row[1:] = np.maximum(row[1:], diagonal)
@@ -64,7 +62,38 @@ def fill(queries: list[str], refs: list[str], sc: Scoring, local: bool) -> tuple
         top, at = ends.max(0), ends.argmax(0) + 1
         better = (top > best) & ((i == qn) if not local else (i <= qn))
         best, qe, re_ = np.where(better, top, best), np.where(better, i, qe), np.where(better, at, re_)
-    return h, e, best, qe, re_
+    return h, best, qe, re_
+
+
+def top_scores(queries: list[str], refs: list[str], sc: Scoring, local: bool) -> np.ndarray:
+    """The best score of each pair, as fill() finds it, with two rows in memory instead of whole tables."""
+    q, qn = padded(queries, 20)
+    r, rn = padded(refs, 30)
+    m, width, n = len(q), len(r), len(queries)
+    kind = np.int16 if (m + width + 8) * max(sc.match, sc.mismatch, sc.gap_extend) + sc.gap_open < 8000 else np.int32
+    never, first = kind(-15000), sc.gap_open + sc.gap_extend
+    h, e = np.zeros((width + 1, n), kind), np.full((width + 1, n), never, kind)
+    ramp = (np.arange(width + 1) * sc.gap_extend).astype(kind)[:, None]
+    beyond = (np.arange(1, width + 1)[:, None] > rn[None]).astype(kind) * kind(-16000)
+    best = np.full(n, NEVER)
+    for i in range(1, m + 1):
+        e = np.maximum(np.maximum(h - kind(first), e - kind(sc.gap_extend)), never)
+        row = e.copy()
+        diagonal = h[:-1] + ((q[i - 1][None] == r).astype(kind) * kind(sc.match + sc.mismatch) - kind(sc.mismatch))
+        np.maximum(row[1:], diagonal, out=row[1:])
+        if local:
+            np.maximum(row, 0, out=row)
+        gap, reach = row + ramp, 1
+        while reach <= width:  # a running maximum in log steps, faster than accumulate over short integers
+            np.maximum(gap[reach:], gap[:-reach], out=gap[reach:])
+            reach *= 2
+        np.maximum(row[1:], gap[:-1] - ramp[1:] - kind(sc.gap_open), out=row[1:])
+        h = row
+        if local or (i == qn).any():
+            # A local alignment that ends in a mismatch never beats the one that stops before it.
+            ends = (np.maximum(diagonal, kind(-8000)) + beyond).max(0, initial=never)
+            best = np.where((i <= qn) if local else (i == qn), np.maximum(best, ends), best)
+    return best
 
 
 def trace(h: np.ndarray, query: str, ref: str, qe: int, re_: int, sc: Scoring, local: bool) -> tuple[int, int, list[tuple[str, int]]]:
@@ -136,20 +165,26 @@ def described(query: str, ref: str, ops: list[tuple[str, int]]) -> tuple[str, st
 
 
 def align(queries: list[str], refs: list[str], sc: Scoring, local: bool) -> list[tuple | None]:
-    """Per pair (score, qst, qen, rst, ren, cigar, cs, mlen, blen, ed), or None under min_score. Pairs of like lengths share a table."""
+    """Per pair (score, qst, qen, rst, ren, cigar, cs, mlen, blen, ed), or None under min_score. Pairs of like lengths share a table.
+
+    Most candidates score too low: scores alone come first, and tables to trace back through only for the rest.
+    """
     out: list[tuple | None] = [None] * len(queries)
-    order = sorted(range(len(queries)), key=lambda i: (len(queries[i]), len(refs[i])))
+    order = sorted((i for i in range(len(queries)) if queries[i] and refs[i]), key=lambda i: (len(queries[i]), len(refs[i])))
+    good = []
+    for at in range(0, len(order), 512):
+        ids = order[at : at + 512]
+        top = top_scores([queries[i] for i in ids], [refs[i] for i in ids], sc, local)
+        good += [i for i, x in zip(ids, top) if x >= sc.min_score]
+    order = good
     at = 0
     while at < len(order):
         m, width = len(queries[order[at]]), max(len(refs[order[at]]), 1)
         size = max(1, min(2048, 8_000_000 // ((m + 1) * (width + 1))))
         ids = [i for i in order[at : at + size] if len(queries[i]) <= m * 5 // 4 + 8]
         at += len(ids)
-        some = [i for i in ids if queries[i] and refs[i]]
-        if not some:
-            continue
-        h, _, best, qe, re_ = fill([queries[i] for i in some], [refs[i] for i in some], sc, local)
-        for k, i in enumerate(some):
+        h, best, qe, re_ = fill([queries[i] for i in ids], [refs[i] for i in ids], sc, local)
+        for k, i in enumerate(ids):
             if best[k] >= sc.min_score:
                 qs, rs, ops = trace(h[:, :, k], queries[i], refs[i], int(qe[k]), int(re_[k]), sc, local)
                 a, b = queries[i][qs : qe[k]], refs[i][rs : re_[k]]
