@@ -316,6 +316,20 @@ def test_op10_chains_and_alignment():
     assert substrings.align(b"p q a b c d e r s", b"p q a b c d e t u", 3, 5, 3, 5, 0, 0) == (0, 7, 0, 7, 7)
 
 
+def test_op10_chains_over_unlike_text_are_split(spark):
+    """Two passages with other words between, an insert on one side, and a short common line nearby."""
+    fresh = iter(np.random.default_rng(8).permutation(20_000).tolist())
+    some = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    docs, want = [], []
+    for head, gap_a, gap_b, tail in ((60, 100, 100, 60), (60, 0, 100, 60), (60, 30, 30, 15), (60, 55, 55, 15), (60, 40, 42, 15)):
+        p, q = some(head), some(tail)
+        for gap in (gap_a, gap_b):
+            docs.append((len(docs), " ".join(some(30) + p + some(gap) + q + some(30))))
+        want += [(len(docs) - 1, 30, 30 + head)] + ([(len(docs) - 1, 30 + head + gap_b, 30 + head + gap_b + tail)] if tail >= 50 else [])
+    got = substrings.passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.start, r.stop) for r in got) == want and all(r.other_id == r.doc_id - 1 for r in got)
+
+
 def test_gradients_of_the_recurrent_network():
     rng = np.random.default_rng(0)
     net = toxicity.BiGRU()
