@@ -330,6 +330,33 @@ def test_op10_chains_over_unlike_text_are_split(spark):
     assert sorted((r.doc_id, r.start, r.stop) for r in got) == want and all(r.other_id == r.doc_id - 1 for r in got)
 
 
+@pytest.mark.parametrize("hot", [50_000, 1])
+def test_op10_passages_of_frequent_lines(spark, monkeypatch, hot):
+    """Two documents share a passage whose every two lines stand in other documents that come before both and between them."""
+    monkeypatch.setattr(substrings, "HOT", hot)
+    fresh = iter(np.random.default_rng(9).permutation(200_000).tolist())
+    some = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    docs, want = {}, []
+    for c in range(12):
+        lines = [some(13) for _ in range(5)]
+        for at in (100 * c, 100 * c + 51):
+            for i in range(5):
+                docs[at + i] = some(20) + lines[i] + some(20)
+                docs[at + 10 + i] = some(20) + (lines[i] + lines[i + 1] if i < 4 else []) + some(20)
+        passage = sum(lines, [])
+        docs[100 * c + 50], docs[100 * c + 99] = (some(30) + passage + some(30) for _ in range(2))
+        want.append((100 * c + 99, 30, 95, 100 * c + 50))
+    got = substrings.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    assert set(want) <= {(r.doc_id, r.start, r.stop, r.other_id) for r in got}
+
+
+def test_op10_long_stretches_of_periodic_text_are_thinned():
+    text = " ".join(["cat"] * 500).encode()
+    _, at, far = substrings.seeds(text)
+    kept = at[far != 0]
+    assert len(kept) < 40 and len({x for p in kept.tolist() for x in range(p, p + substrings.LONG)}) >= 490
+
+
 def test_gradients_of_the_recurrent_network():
     rng = np.random.default_rng(0)
     net = toxicity.BiGRU()
