@@ -1,6 +1,6 @@
 import random
 
-from conftest import asked, sources
+from sequence_samples import asked, sources
 
 from helixframe.functions.alphabet import parse_size
 from helixframe.functions.dp import Scoring, align

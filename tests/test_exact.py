@@ -1,7 +1,7 @@
 import random
 
 import pytest
-from conftest import asked, sources
+from sequence_samples import asked, sources
 
 from helixframe.operators import exact, kmers
 from helixframe.sources.sequences import both_strands, read_fastx, read_lines, read_names

@@ -3,7 +3,7 @@
 import random
 
 import pytest
-from conftest import sources
+from sequence_samples import sources
 
 from helixframe.operators.index import Index
 
