@@ -1,7 +1,8 @@
-"""Cutting lineage through a table in the shared folder."""
+"""Tables in the shared folder: they cut lineage, and are deleted once what was made of them is written."""
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,18 +15,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write df to the shared folder and read it back: nothing is computed again, even if executors are lost."""
+    """Write df to the shared folder and read it back: nothing is computed again, even if executors are lost.
+
+    Spark then knows the table's size, so that it broadcasts it in a join if it is small by
+    spark.sql.autoBroadcastJoinThreshold and shuffles both sides if it is not.
+    """
     path = shared_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.scratch_folder = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables of materialize(). Only for tables that no later plan reads any more."""
+    for t in tables:
+        path = t.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(t.scratch_folder)
+        path.getFileSystem(t.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
 
+#: Bytes of a shuffle that one task should get.
+TASK_BYTES = 64 << 20
 
-#: Rows up to which a side of a join is broadcast; the rows are counted first.
-BROADCAST_ROWS = 200_000
 
+def partitions_for(spark: SparkSession, size: int) -> int:
+    """Partitions of a shuffle of so many bytes: spark.sql.shuffle.partitions, or more if tasks would get too much."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size / TASK_BYTES))
 
-def small_side(df: DataFrame) -> DataFrame:
-    """df with a broadcast hint if it has at most BROADCAST_ROWS rows, else as it is (Spark then shuffles both sides)."""
-    from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+def fresh(taken: list[str], name: str) -> str:
+    """name, or name with underscores before it, so that no column in `taken` has it (Spark ignores case)."""
+    used = {c.lower() for c in taken}
+    while name.lower() in used:
+        name = "_" + name
+    return name

@@ -16,13 +16,10 @@ from .operators.index import BLOCK, Index
 from .plans.lineage import materialize, shared_dir
 from .sources import formats
 from .sources.sequences import both_strands, from_table, turns
+from .sources.tables import table
 from .streaming.search import stream_mem
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-
-
 def documents(spark, sf_dir) -> DataFrame:
     return from_table(table(spark, sf_dir, "documents"), "doc_id")
 
