@@ -2,7 +2,8 @@
 
 Every whole text is cut into fixed-length byte windows, which are scored in batches; the class probabilities of a
 text are the mean over its windows, weighted by their bytes. Training reads a bounded sample of labelled rows
-(`sample_rows`, chosen by a hash of the id, so the same rows come out at every partitioning) and runs in numpy.
+(`sample_rows`, chosen by a hash of the id, so the same rows come out at every partitioning) and runs in numpy on
+`windows_per_row` windows of each, which are cut out in the tasks: the driver gets windows, never whole texts.
 
 Defined results: a null text, or one without any letter, is `und` with score 0. A null id is allowed and kept. With
 no labelled row at all every text is `und`. Repeated rows are scored each. Other columns play no part.
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, softmax, window_logits, window_starts, windows
-from .common import hash_sample, held_out, small_batches, table, text_bytes
+from .common import hash_sample, held_out, small_batches, spread, table, text_bytes
 
 WINDOW = 256
 SAMPLE_ROWS = 1600
@@ -55,22 +56,31 @@ class LanguageModel:
         return names, score
 
 
-def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = 6) -> LanguageModel:
-    """Train on at most `sample_rows` rows with a label, those with the smallest hash of their id."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.coalesce(F.col(text_col), F.lit("")).alias("t")).where(F.col("y").isNotNull())
-    rows = sorted(hash_sample(rows, "i", "language", sample_rows).collect(), key=lambda r: (r.u, r.i, r.t))[:sample_rows]
+def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, windows_per_row: int = WINDOWS_PER_ROW, epochs: int = 6) -> LanguageModel:
+    """Train on at most `sample_rows` rows with a label, those with the smallest hash of their id, and `windows_per_row` windows of each."""
+    rows = labelled.select(F.col(id_col).alias("i"), F.col(label_col).alias("y"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t")).where(F.col("y").isNotNull())
+    sample = hash_sample(rows, "i", "language", sample_rows).select("u", F.col("y").cast("string").alias("y"), F.col("t").cast("binary").alias("t"))
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for t in b.column(2).to_pylist():
+                start, size, _ = window_starts(np.array([0, len(t)]), WINDOW, WINDOW)
+                out.append([t[start[k] : start[k] + size[k]] for k in spread(len(start), windows_per_row)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], ["u", "y", "parts"])
+
+    rows = sorted(sample.mapInArrow(cut, "u bigint, y string, parts array<binary>").collect(), key=lambda r: (r.u, r.y, r.parts))
     labels = sorted({r.y for r in rows})
     if not labels:
         return LanguageModel([], None)
     xs, ys = [], []
     for r in rows:
-        data = np.frombuffer(r.t.encode(), np.uint8)
-        start, size, _ = window_starts(np.array([0, len(data)]), WINDOW, WINDOW)
-        pick = np.unique(np.linspace(0, len(start) - 1, WINDOWS_PER_ROW).astype(int))
+        data = np.frombuffer(b"".join(r.parts), np.uint8)
+        size = np.array([len(x) for x in r.parts])
         # Windows cut short teach the network what short texts look like.
-        cut = np.where(np.arange(len(pick)) % 2 == 0, size[pick], np.minimum(size[pick], 24 + (r.u % 97)))
-        xs.append(windows(data, start[pick], cut, WINDOW))
-        ys += [labels.index(r.y)] * len(pick)
+        short = np.where(np.arange(len(size)) % 2 == 0, size, np.minimum(size, 24 + (r.u % 97)))
+        xs.append(windows(data, np.cumsum(size) - size, short, WINDOW))
+        ys += [labels.index(r.y)] * len(size)
     y = np.array(ys)
     count = np.bincount(y, minlength=len(labels))
     weight = (len(y) / (len(labels) * np.maximum(1, count)))[y].astype(np.float32)

@@ -2,7 +2,9 @@
 
 Chunks of 512 bytes start every 384 bytes, so each byte but the first and last few lies in the inner part of some
 chunk. The network gives each chunk a logit from its max-pooled filter responses; a document's logit is a learned
-combination of the mean and the lowest of its chunks' logits, and its score the logistic of that.
+combination of the mean and the lowest of its chunks' logits, and its score the logistic of that. Training reads a
+bounded sample of labelled rows (`sample_rows`, half of each label, chosen by a hash of the id): `chunks_per_row` chunks
+of each for the network and `mixed_chunks` for the combination, evenly spread and cut out in the tasks.
 
 Defined results: null and empty texts are scored as one empty chunk. With no labelled row, or labels of one kind
 only, every score is the share of label 1 (0.5 without labels). Repeated rows are scored each.
@@ -16,11 +18,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import ByteCNN, window_logits, window_starts, windows
-from .common import hash_sample, held_out, small_batches, table, text_bytes
+from .common import held_out, labelled_sample, small_batches, spread, table, text_bytes
 
 CHUNK, STRIDE = 512, 384
 SAMPLE_ROWS = 1600
-CHUNKS_PER_ROW = 4
+CHUNKS_PER_ROW, MIXED_CHUNKS = 4, 64
 
 
 class QualityModel:
@@ -29,8 +31,10 @@ class QualityModel:
 
     def features(self, raw, offsets, tables) -> np.ndarray:
         """Per text: 1, mean and lowest logit of its chunks."""
-        n = len(offsets) - 1
         start, size, doc = window_starts(offsets, CHUNK, STRIDE)
+        return self.chunk_features(raw, start, size, doc, len(offsets) - 1, tables)
+
+    def chunk_features(self, raw, start, size, doc, n: int, tables) -> np.ndarray:
         z = window_logits(self.net, tables, raw, start, size, CHUNK).astype(np.float64)
         logit = z[:, 1] - z[:, 0]
         first = np.searchsorted(doc, np.arange(n))
@@ -43,32 +47,32 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.features(raw, offsets, tables) @ self.mix, -30, 30)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, epochs: int = 6) -> QualityModel:
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "quality", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, chunks_per_row: int = CHUNKS_PER_ROW, mixed_chunks: int = MIXED_CHUNKS, epochs: int = 6) -> QualityModel:
     """Train on at most `sample_rows` labelled rows with a small hash of their id, half of them of each label if there are enough."""
-    rows = []
-    for label in (0, 1):
-        # A bounded sample of ids, which is why it may be broadcast to find their texts.
-        ids = hash_sample(labels.where(F.col(label_col) == label).select(F.col(id_col).alias("i")), "i", "quality", sample_rows // 2)
-        texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-        found = texts.join(F.broadcast(ids), "i").limit(2 * sample_rows).withColumn("y", F.lit(label)).collect()
-        rows += sorted(found, key=lambda r: (r.u, r.i, r.t))[: sample_rows // 2]
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for t in b.column(2).to_pylist():
+                start, size, _ = window_starts(np.array([0, len(t)]), CHUNK, STRIDE)
+                out.append([t[start[k] : start[k] + size[k]] for k in spread(len(start), mixed_chunks)])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.list_(pa.binary()))], ["u", "y", "parts"])
+
+    sample = labelled_sample(docs, labels, text_col, label_col, id_col, "quality", sample_rows).select("u", "y", F.col("t").cast("binary").alias("t"))
+    rows = sorted(sample.mapInArrow(cut, "u bigint, y int, parts array<binary>").collect(), key=lambda r: (r.u, r.y, r.parts))
     if len({r.y for r in rows}) < 2:
         return QualityModel(None, float(np.mean([r.y for r in rows])) if rows else 0.5, None)
-    rows.sort(key=lambda r: (r.u, r.i, r.t))
-    xs, ys = [], []
-    for r in rows:
-        data = np.frombuffer(r.t.encode(), np.uint8)
-        start, size, _ = window_starts(np.array([0, len(data)]), CHUNK, STRIDE)
-        pick = np.unique(np.linspace(0, len(start) - 1, CHUNKS_PER_ROW).astype(int))
-        xs.append(windows(data, start[pick], size[pick], CHUNK))
-        ys += [r.y] * len(pick)
-    y = np.array(ys)
-    count = np.bincount(y, minlength=2)
-    weight = (len(y) / (2 * count))[y].astype(np.float32)
-    model = QualityModel(ByteCNN(2, (3, 5), 8).fit(np.concatenate(xs), y, weight, epochs), 0.5, None)
-    texts = [r.t.encode() for r in rows]
-    raw, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)])
-    f, label = model.features(raw, offsets, model.net.pairs()), np.array([r.y for r in rows], float)
+    size = np.array([len(x) for r in rows for x in r.parts])
+    raw, start = np.frombuffer(b"".join(x for r in rows for x in r.parts), np.uint8), np.cumsum(size) - size
+    count = np.array([len(r.parts) for r in rows])
+    first = np.cumsum(count) - count
+    pick = [first[i] + spread(n, chunks_per_row) for i, n in enumerate(count)]
+    y = np.repeat([r.y for r in rows], [len(x) for x in pick])
+    pick = np.concatenate(pick)
+    weight = (len(y) / (2 * np.bincount(y, minlength=2)))[y].astype(np.float32)
+    model = QualityModel(ByteCNN(2, (3, 5), 8).fit(windows(raw, start[pick], size[pick], CHUNK), y, weight, epochs), 0.5, None)
+    f = model.chunk_features(raw, start, size, np.repeat(np.arange(len(rows)), count), len(rows), model.net.pairs())
+    label = np.array([r.y for r in rows], float)
     scale = np.array([1.0, 4.0, 4.0])
     mix = np.array([0.0, 1.0, 1.0])
     for _ in range(400):  # plain gradient descent on three numbers

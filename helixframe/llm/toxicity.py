@@ -5,7 +5,8 @@ hashed word embedding with the mean of hashed character-trigram embeddings of th
 in training still count. Attention pools a window's states into one logit. All windows are scored; a text's score is
 the logistic of a learned combination of its highest and mean window logit. Only a bounded sample of labelled rows
 (`sample_rows`, chosen by a hash of the id, half of each label) is used for training, by the window that speaks most
-for the label, since a toxic text may be toxic in one place only.
+for the label, since a toxic text may be toxic in one place only. At most `windows_per_row` windows of a labelled text,
+evenly spread, go to the driver (256 are 6,150 words: nearly every text has fewer); they are cut out in the tasks.
 
 Defined results: null and empty texts are scored as one empty window. Without labels of both kinds every score is the
 share of label 1 (0 without labels). Repeated rows are scored each.
@@ -20,13 +21,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytecnn import window_starts
-from .common import hash_sample, held_out, small_batches, table
+from .common import held_out, labelled_sample, small_batches, spread, table
 
 WINDOW, STRIDE = 32, 24
 HIDDEN, WORD_SIZE, CHAR_SIZE, WORD_ROWS, CHAR_ROWS = 8, 8, 8, 1 << 14, 1 << 12
 SAMPLE_ROWS = 2000
-#: Windows of one labelled text that training looks at.
-TRAIN_WINDOWS = 32
+#: Windows of one labelled text that training looks at, at most.
+WINDOWS_PER_ROW = 256
 #: Texts of the sample that must hold a word for it to get an embedding of its own.
 COMMON = 4
 REMEMBERED = 250_000
@@ -189,6 +190,15 @@ def word_windows(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.
     return flat[at] * (np.arange(WINDOW) < size[:, None]), doc
 
 
+def padded_windows(texts: list[list[list[int]]]) -> tuple[np.ndarray, np.ndarray]:
+    """(n, WINDOW) values of the windows of all texts, 0 beyond a window's end, and the text of each window."""
+    flat = [win for x in texts for win in x]
+    size = np.fromiter(map(len, flat), np.int64, len(flat))
+    out = np.zeros((len(flat), WINDOW), np.int64)
+    out[np.arange(WINDOW) < size[:, None]] = [v for win in flat for v in win]
+    return out, np.repeat(np.arange(len(texts)), [len(x) for x in texts])
+
+
 def text_features(logit: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     """Per text: 1, highest and mean logit of its windows."""
     first = np.searchsorted(doc, np.arange(n))
@@ -207,20 +217,26 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(f @ self.mix, -30, 30)))
 
 
-def train(texts: list[str], labels: np.ndarray, steps: int = 500, docs_per_step: int = 24, rate: float = 0.01, seed: int = 5) -> ToxicityModel:
+def text_windows(text: str, most: int | None = None) -> list[list[str]]:
+    """The words of a text's windows, or of `most` of them, evenly spread."""
+    words = text.split()
+    start, size, _ = window_starts(np.array([0, len(words)]), WINDOW, STRIDE)
+    pick = spread(len(start), most) if most else range(len(start))
+    return [words[start[k] : start[k] + size[k]] for k in pick]
+
+
+def train(texts: list[list[list[str]]], labels: np.ndarray, steps: int = 500, docs_per_step: int = 24, rate: float = 0.01, seed: int = 5) -> ToxicityModel:
+    """texts: the words of the windows of each text."""
     rng, net = np.random.default_rng(seed), BiGRU(seed)
-    words = [t.split() for t in texts]
-    names = {w: i for i, w in enumerate(dict.fromkeys(w for x in words for w in x))}
+    names = {w: i for i, w in enumerate(dict.fromkeys(w for x in texts for win in x for w in win))}
     if not names:
         return ToxicityModel(None, float(labels.mean()), None)
     row, tri, start = word_rows(list(names))
     size = np.diff(np.append(start, len(tri)))
-    flat, offsets = np.array([names[w] + 1 for x in words for w in x], np.int64), np.cumsum([0, *map(len, words)])
-    every, doc = word_windows(flat, offsets)
-    texts_with = np.bincount(row[np.concatenate([np.unique(flat[a:b]) for a, b in zip(offsets, offsets[1:]) if b > a]) - 1], minlength=WORD_ROWS)
-    net.common = texts_with >= COMMON
+    every, doc = padded_windows([[[names[w] + 1 for w in win] for win in x] for x in texts])
     of = np.split(np.arange(len(doc)), np.cumsum(np.bincount(doc, minlength=len(texts)))[:-1])
-    of = [x[np.unique(np.linspace(0, len(x) - 1, TRAIN_WINDOWS).astype(int))] for x in of]
+    texts_with = np.bincount(row[np.concatenate([(u := np.unique(every[x]))[u > 0] for x in of]) - 1], minlength=WORD_ROWS)
+    net.common = texts_with >= COMMON
     kinds = [np.flatnonzero(labels == k) for k in (0, 1)]
     m, v = {k: np.zeros_like(a) for k, a in net.p.items()}, {k: np.zeros_like(a) for k, a in net.p.items()}
     for step in range(1, steps + 1):
@@ -252,8 +268,9 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 500, docs_per_step:
     reader = Reader(net)
     f = []
     for at in range(0, len(texts), 64):
-        ids, doc = reader.windows(texts[at : at + 64])
-        f.append(text_features(net.logits(reader.table, ids).astype(np.float64), doc, len(texts[at : at + 64])))
+        some = texts[at : at + 64]
+        ids, doc = padded_windows([[reader.rows(win) for win in x] for x in some])
+        f.append(text_features(net.logits(reader.table, ids).astype(np.float64), doc, len(some)))
     f, scale = np.concatenate(f), np.array([1.0, 4.0, 4.0])
     mix = np.array([0.0, 1.0, 0.0])
     for _ in range(500):
@@ -263,18 +280,20 @@ def train(texts: list[str], labels: np.ndarray, steps: int = 500, docs_per_step:
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> ToxicityModel:
-    rows = []
-    for label in (0, 1):
-        # A bounded sample of ids, which is why it may be broadcast to find their texts.
-        ids = hash_sample(labels.where(F.col(label_col) == label).select(F.col(id_col).alias("i")), "i", "toxicity", sample_rows // 2)
-        texts = docs.select(F.col(id_col).alias("i"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
-        found = texts.join(F.broadcast(ids), "i").limit(2 * sample_rows).withColumn("y", F.lit(label)).collect()
-        rows += sorted(found, key=lambda r: (r.u, r.i, r.t))[: sample_rows // 2]
+def fit(docs: DataFrame, labels: DataFrame, text_col: str = "text", label_col: str = "toxic", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS, windows_per_row: int = WINDOWS_PER_ROW) -> ToxicityModel:
+    """Train on at most `sample_rows` labelled rows, half of each label, and `windows_per_row` windows of each."""
+
+    def cut(batches):
+        for b in batches:
+            parts = [[" ".join(win) for win in text_windows(t, windows_per_row)] for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(parts, pa.list_(pa.string()))], ["u", "y", "parts"])
+
+    sample = labelled_sample(docs, labels, text_col, label_col, id_col, "toxicity", sample_rows).select("u", "y", "t")
+    rows = sorted(sample.mapInArrow(cut, "u bigint, y int, parts array<string>").collect(), key=lambda r: (r.y, r.u, r.parts))
     y = np.array([r.y for r in rows])
     if len(set(y.tolist())) < 2:
         return ToxicityModel(None, float(y.mean()) if len(y) else 0.0, None)
-    return train([r.t for r in rows], y)
+    return train([[win.split() for win in r.parts] for r in rows], y)
 
 
 def score(docs: DataFrame, model: ToxicityModel, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
