@@ -8,11 +8,15 @@ differ in at most one bit exactly if they share such a key. Fingerprints that me
 
 Skew: texts with equal fingerprints are collapsed before the join, so copies cost nothing. Under a key that many
 fingerprints share (near copies), no pairs are emitted: a breadth-first search inside the sorted run finds its
-linked parts and emits one edge per member, which loses no link of the graph's components. Components
-are then contracted by alternating large and small stars over DataFrames, each round written to the shared folder.
+linked parts and emits one edge per member, which loses no link of the graph's components. Keys are counted first: one
+with more than BLOCK fingerprints is cut into blocks, and each pair of its blocks is searched by a task of its own, so
+that no task holds more than two blocks. Components are then contracted by alternating large and small stars over
+DataFrames, each round written to the shared folder; both sides of every join stand on shuffles of their own, which
+adaptive execution may split where one node has most of the edges.
 
 Defined results: a null text has no words, as an empty one; without words the fingerprint is zero and links like any
 other. component_id is the smallest non-null id reachable (null if none has an id). Repeated rows are returned each.
+keep_one_of_each keeps exactly one row of every class, whatever ids repeat or are missing.
 """
 
 from __future__ import annotations
@@ -24,13 +28,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, small_batches, table
+from .common import discard, fresh, materialize, partitions_for, small_batches, table
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
 #: First bit of each segment, and the end.
 SEGMENTS = (0, 22, 43, 64)
 #: Under a key that more fingerprints share, the search emits edges to one member instead of pairs.
 FEW = 24
+#: A key with more fingerprints is searched block by block; the answer is the same.
+BLOCK = 1 << 14
 
 
 def fingerprint(text: bytes) -> int:
@@ -54,17 +60,18 @@ def fingerprint(text: bytes) -> int:
     return int.from_bytes(np.packbits(count > half).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, fp as a signed long) of every row."""
+def fingerprints(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", also: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, fp as a signed long) of every row, and the long columns named in `also`."""
     small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         for b in batches:
             fp = np.array([fingerprint(t.as_py() or b"") for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64()), *b.columns[2:]], ["doc_id", "fp", *also])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text")).mapInArrow(run, f"doc_id {kind}, fp bigint")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"), *also)
+    return rows.mapInArrow(run, ", ".join([f"doc_id {kind}", "fp bigint", *(f"`{c}` bigint" for c in also)]))
 
 
 def differing(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -124,13 +131,13 @@ def links(distinct: DataFrame) -> DataFrame:
         .withColumn("low", low)
         .withColumn("width", width)
         .select(
-            F.expr("shiftleft(bit, 22) | (cast(shiftrightunsigned(fp, low) & (shiftleft(1L, width) - 1) as int) & ~shiftleft(1, bit - low))").alias("key"),
+            F.expr("cast(shiftleft(bit, 22) | (cast(shiftrightunsigned(fp, low) & (shiftleft(1L, width) - 1) as int) & ~shiftleft(1, bit - low)) as bigint)").alias("key"),
             "fp",
         )
     )
 
     def run(batches):
-        held_key, held_fp = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        held_key, held_fp = np.zeros(0, np.int64), np.zeros(0, np.int64)
         kept, size = [], 0
         for b in batches:
             kept.append(b)
@@ -150,54 +157,86 @@ def links(distinct: DataFrame) -> DataFrame:
             x, y = links_in_runs(key, fp)
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
-    n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint").distinct()
+    spark, n = distinct.sparkSession, distinct.count()
+    hot = materialize(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > BLOCK))
+    parts = partitions_for(spark, 64 * 20 * n)
+    cold = keys if hot.isEmpty() else keys.join(hot, "key", "left_anti")
+    searched = [cold.repartition(parts, "key")]
+    if not hot.isEmpty():
+        # Each fingerprint of a hot key meets every block of the key once, in the task of its own block and that one.
+        blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+        mine = keys.join(hot, "key").withColumn("blocks", blocks).withColumn("mine", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+        mine = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        pair = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other"))
+        searched.append(mine.select(pair.alias("key"), "fp").repartition(parts, "key"))
+    edges = [x.sortWithinPartitions("key").mapInArrow(run, "a bigint, b bigint") for x in searched]
+    out = materialize((edges[0] if len(edges) == 1 else edges[0].union(edges[1])).distinct())
+    discard(hot)
+    return out
 
 
 def stars(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (a, b): root is the smallest node of its component.
 
-    Alternates large and small stars until the edges stay as they are; a node with many neighbours is read by a join
-    that Spark may split, and its minimum is aggregated before the shuffle.
+    Alternates large and small stars until the edges stay as they are. A node's minimum is aggregated before the
+    shuffle and written, so that the join with the node's many neighbours is one that Spark may split.
     """
     edges = materialize(edges.where("a <> b").selectExpr("least(a, b) a", "greatest(a, b) b").distinct())
     seen = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct()
+        low = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
+        large = materialize(both.where("b > a").join(low, "a").select(F.col("m").alias("a"), "b").where("a <> b").distinct())
         # Now every edge points from a smaller a to a larger b; each b hands all its a to the smallest of them.
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = materialize(large.groupBy("b").agg(F.min("a").alias("m")))
         handed = large.join(least, "b").where("a <> m").select(F.col("m").alias("a"), F.col("a").alias("b"))
-        edges = materialize(handed.union(least.select(F.col("m").alias("a"), "b")).distinct())
+        after = materialize(handed.union(least.select(F.col("m").alias("a"), "b")).distinct())
+        discard(edges, low, large, least)
+        edges = after
         state = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root"))
         seen = state
 
 
+def classes(fps: DataFrame) -> DataFrame:
+    """(fp, root, component_id) of every distinct fingerprint of fps (doc_id, fp), written; root names the class."""
+    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    edges = links(distinct.select("fp"))
+    roots = stars(edges)
+    whole = materialize(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    component = materialize(whole.groupBy("root").agg(F.min("least").alias("component_id")))
+    out = materialize(whole.join(component, "root").select("fp", "root", "component_id"))
+    discard(distinct, edges, whole, component)
+    return out
+
+
 def near_duplicate_classes(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp, component_id) of every row."""
     fps = materialize(fingerprints(docs, text_col, id_col))
-    distinct = materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = stars(links(distinct.select("fp")))
-    whole = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    component = whole.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = whole.join(component, "root").select("fp", "component_id")
-    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
+    return fps.join(classes(fps).select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one_of_each(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """docs without all but one row of each class: that with the smallest id (of rows with that id, the smallest text).
+    """docs without all but one row of each class: that with the smallest id, a null id being the largest.
 
-    All columns stay as they are. Rows without an id stay if no member of their class has one.
+    Of rows with that id, the one with the smallest hash of its columns stays; of rows that are alike throughout, any.
+    All columns stay as they are. Columns that cannot be compared (maps) play no part in the choice.
     """
-    classes = materialize(near_duplicate_classes(docs, text_col, id_col).select(F.col("doc_id").alias("__keep"), "component_id"))
-    keep = classes.where(F.col("__keep").eqNullSafe(F.col("component_id"))).groupBy("__keep").agg(F.count("*").alias("__n"))
-    here = docs.join(keep.where("__n = 1 or __keep is null").select("__keep"), docs[id_col].eqNullSafe(F.col("__keep")), "left_semi")
-    again = docs.join(keep.where("__n > 1 and __keep is not null").select("__keep"), docs[id_col] == F.col("__keep"), "left_semi")
-    first = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))), text_col))
-    return here.unionByName(again.withColumn("__rank", first).where("__rank = 1").drop("__rank"))
+    row, key, kept_row, many = (fresh(docs.columns, c) for c in ("row_hash", "kept_id", "kept_row", "alike"))
+    plain = [f.name for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    marked = docs.withColumn(row, F.xxhash64(F.col(text_col), *(F.col(c) for c in plain)))
+    fps = materialize(fingerprints(marked, text_col, id_col, (row,)))
+    ids = classes(fps)
+    rows = fps.groupBy("fp", "doc_id", row).agg(F.count("*").alias("n")).join(ids.select("fp", "root"), "fp")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", row, "n"))
+    chosen = materialize(rows.groupBy("root").agg(first.alias("s")).select(F.col("s.doc_id").alias(key), F.col(f"s.{row}").alias(kept_row), F.col("s.n").alias(many)))
+    there = marked[id_col].eqNullSafe(F.col(key)) & (F.col(row) == F.col(kept_row))
+    single = marked.join(chosen.where(F.col(many) == 1), there, "left_semi")
+    # Rows that are alike throughout: one of them, picked before the shuffle, so that a large group costs no task much.
+    again = marked.join(chosen.where(F.col(many) > 1), there, "left_semi").groupBy(id_col, row).agg(F.first(F.struct(*docs.columns)).alias(key)).select(f"{key}.*")
+    discard(fps, ids)
+    return single.select(*docs.columns).unionByName(again)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
