@@ -6,9 +6,10 @@ single rarest word. Rarity is counted over all words of all documents. Each occu
 fixes where the window would lie; it must lie inside the document (length and position bounds), and is then verified
 word by word against the document's words at that place.
 
-The words are exploded, joined and verified in one generated stage when the windows are few enough to be broadcast
-(`MAX_BROADCAST` of them, counted first). Beyond that, the rarest words are joined by a shuffle and only the
-candidates are joined back to their documents for verification.
+Texts are split into words once; the words are written and read for the counts, the search and the verification. When
+the windows are few enough to be broadcast (`MAX_BROADCAST` of them, counted first), words are joined and verified in one
+generated stage. Beyond that, words are counted before they are joined, the rarest words are joined by a shuffle, and
+only the candidates are joined back to their documents for verification.
 
 Defined results: null texts have no words. Items without words give no window. Items with a null id mark words as hit
 but are not listed. Repeated rows are each returned; rows of equal id and different text are told apart by a hash.
@@ -20,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import materialize, table
+from .common import discard, fresh, materialize, table
 
 WINDOW = 10
 MAX_BROADCAST = 100_000
@@ -43,64 +44,74 @@ def windows(items: DataFrame, size: int, text_col: str, id_col: str) -> DataFram
     return cut.select("item_id", F.array_join("w", " ").alias("text"), "w", F.size("w").alias("len"))
 
 
-def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, start, stop, text) of every occurrence of a window, and the (item_id, text) of windows; h: hash of a document's text."""
-    wins = windows(items, size, item_text, item_id).persist()
+def split_words(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, h, w) of every row, written: h is a hash of the text, w its words as they stand."""
+    return materialize(docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), words(F.col(text_col)).alias("w")))
+
+
+def hits(split: DataFrame, wins: DataFrame) -> DataFrame:
+    """(doc_id, h, start, stop, text) of every occurrence of a window; split: split_words(), wins: windows(), written."""
     distinct = wins.groupBy("text").agg(F.first("w").alias("w"), F.first("len").alias("len"))
     few = distinct.count() <= MAX_BROADCAST
-    small = F.broadcast if few else (lambda df: df)
-
-    split = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), words(F.col(text_col)).alias("w"))
-    # An outer explode: a plain one makes Spark split every text a second time, to filter out those without words.
     # lower() may fold more than A-Z, so it can only let more candidates through; the verification is exact.
     vocabulary = distinct.select(F.explode("w").alias("word")).select(F.lower("word").alias("word")).distinct()
-    seen = split.select(F.explode_outer("w").alias("x")).select(F.lower("x").alias("word"))
-    rarity = seen.join(small(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    seen = split.select(F.explode("w").alias("x")).select(F.lower("x").alias("word"))
+    if few:
+        rarity = seen.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
+    else:  # counted first: a frequent word travels as one row of each task
+        rarity = seen.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word")
 
-    spread = distinct.select("text", "w", "len", F.posexplode("w").alias("offset", "x")).withColumn("word", F.lower("x"))
+    spread = distinct.select("text", "len", F.posexplode("w").alias("offset", "x")).withColumn("word", F.lower("x"))
     ranked = spread.join(rarity, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     anchors = ranked.groupBy("text").agg(F.min(F.struct("n", "word", "offset")).alias("a"), F.first("len").alias("len"))
-    anchors = anchors.where("a.n > 0").select("text", "len", F.col("a.word").alias("word"), F.col("a.offset").alias("offset"))
+    anchors = materialize(anchors.where("a.n > 0").select("text", "len", F.col("a.word").alias("word"), F.col("a.offset").alias("offset")))
 
     start = F.col("p") - F.col("offset")
     inside = (start >= 0) & (start + F.col("len") <= F.size("w"))
     same = F.translate(F.array_join(F.slice("w", start + 1, F.col("len")), " "), UPPER, LOWER) == F.col("text")
     if few:
-        at = split.select("doc_id", "h", "w", F.posexplode_outer("w").alias("p", "x"))
+        at = split.select("doc_id", "h", "w", F.posexplode("w").alias("p", "x"))
         found = at.join(F.broadcast(anchors), (F.lower("x") == F.col("word")) & inside & same)
     else:
-        at = split.select("doc_id", "h", F.size("w").alias("n_words"), F.posexplode_outer("w").alias("p", "x"))
+        at = split.select("doc_id", "h", F.size("w").alias("n_words"), F.posexplode("w").alias("p", "x"))
         bounds = (start >= 0) & (start + F.col("len") <= F.col("n_words"))
         candidates = at.join(anchors, (F.lower("x") == F.col("word")) & bounds).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "p", "offset", "len", "text").distinct()
         found = candidates.join(split, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")) & same)
-    return found.select("doc_id", "h", start.alias("start"), (start + F.col("len")).alias("stop"), "text").distinct(), wins.select("item_id", "text")
+    out = materialize(found.select("doc_id", "h", start.alias("start"), (start + F.col("len")).alias("stop"), "text").distinct())
+    discard(anchors)
+    return out
 
 
-def contamination(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", id_col: str = "doc_id", item_text: str = "text", item_id: str = "item_id") -> DataFrame:
-    """(doc_id, h, n_hit, items) of documents with a hit; items: sorted texts of the ids of items with occurring windows."""
-    found, wins = hits(docs, items, size, text_col, id_col, item_text, item_id)
-    found = found.persist()
+def contamination(split: DataFrame, items: DataFrame, size: int = WINDOW, item_text: str = "text", item_id: str = "item_id") -> DataFrame:
+    """(doc_id, h, n_hit, items) of documents with a hit, written; items: sorted texts of the ids of items with occurring windows."""
+    wins = materialize(windows(items, size, item_text, item_id))
+    found = hits(split, wins)
     spans = found.select("doc_id", "h", "start", "stop").distinct()
     before = F.max("stop").over(Window.partitionBy("doc_id", "h").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("stop") - F.greatest("start", F.coalesce("before", F.lit(0))))
     covered = spans.withColumn("before", before).groupBy("doc_id", "h").agg(F.sum(new).alias("n_hit"))
-    named = found.select("doc_id", "h", "text").distinct().join(wins, "text").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    named = found.select("doc_id", "h", "text").distinct().join(wins.select("item_id", "text"), "text").groupBy("doc_id", "h").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
     named = named.select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "items")
-    return covered.join(named, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))).select("doc_id", "h", "n_hit", "items")
+    out = materialize(covered.join(named, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k"))).select("doc_id", "h", "n_hit", "items"))
+    discard(wins, found)
+    return out
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """docs without the rows that hold a window of an item; all columns stay as they are."""
-    # Written first: with its size known, Spark broadcasts it if it is small and shuffles the texts only if it is not.
-    bad = materialize(contamination(docs, items, size, text_col, id_col).select(F.col("doc_id").alias("__i"), F.col("h").alias("__k")))
-    return docs.join(bad, F.col(id_col).eqNullSafe(F.col("__i")) & (F.xxhash64(F.col(text_col).cast("string")) == F.col("__k")), "left_anti")
+    i, k = fresh(docs.columns, "bad_id"), fresh(docs.columns, "bad_hash")
+    split = split_words(docs, text_col, id_col)
+    # Written: with its size known, Spark broadcasts it if it is small and shuffles the texts only if it is not.
+    bad = contamination(split, items, size).select(F.col("doc_id").alias(i), F.col("h").alias(k))
+    discard(split)
+    return docs.join(bad, docs[id_col].eqNullSafe(F.col(i)) & (F.xxhash64(docs[text_col].cast("string")) == F.col(k)), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    bad = contamination(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "n_hit", "items")
-    every = docs.select("doc_id", F.xxhash64("text").alias("h"), F.size(words(F.col("text"))).cast("long").alias("n_words"))
+    split = split_words(table(spark, sf_dir, "documents"))
+    bad = contamination(split, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "n_hit", "items")
     found = F.coalesce("items", F.array().cast("array<string>"))
+    every = split.select("doc_id", "h", F.size("w").cast("long").alias("n_words"))
     return every.join(bad, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")), "left").select(
         "doc_id",
         "n_words",
