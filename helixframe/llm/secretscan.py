@@ -1,10 +1,15 @@
 """Secret scans: fixed patterns plus dictionary-primed zstandard novelty.
 
 The patterns (assignments, access keys, long hex strings) find the known shapes. The novelty method then looks at
-every other long string near a sensitive word: a zstandard compressor is primed with a dictionary of common
-identifiers and with the text around the string (the string left out), and the string's marginal compressed bytes are
-measured. Names, paths and prose come cheap, because the dictionary or the surroundings hold their parts; a string
-that costs nearly its own length there is reported as `novel`.
+every other string of 16 or more key characters in sensitive context, which is the line of a sensitive word and the
+line after it, however long they are. A zstandard compressor is primed with a dictionary of common identifiers and with
+the text around the string (the string left out), and the string's marginal compressed bytes are measured. Names, paths
+and prose come cheap, because the dictionary or the surroundings hold their parts. What the bytes are held against
+is the same measure for the string's own characters in shuffled order: a random key is no cheaper than that, whatever
+its alphabet and length, and is reported as `novel`. A string without digits must also change between cases and marks
+as often as a random one would, as words that nothing nearby holds cannot be told from chance by their bytes alone.
+
+A text is read once for its sensitive words and once for its candidates, so the work grows with its length.
 
 Spans count code points, end exclusive, and are listed as kind:start:end by start, then kind (assign, access, hex,
 novel). Defined results: a null text is an empty one, without spans. Repeated rows are scanned each; null ids stay.
@@ -12,6 +17,8 @@ novel). Defined results: a null text is an empty one, without spans. Repeated ro
 
 from __future__ import annotations
 
+import bisect
+import random
 import re
 
 import pyarrow as pa
@@ -30,9 +37,10 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 SENSITIVE = re.compile(r"(?<![a-z])(?:passw|passphrase|pwd|secret|token|api[_ -]?key|apikey|credential|bearer|authorization|private[_ -]?key|access[_ -]?key|client[_ -]?id|signature|jwt|hmac|salt|dsn|connection[_ -]?string)", re.IGNORECASE | re.ASCII)
 HINTS = ("passw", "passp", "pwd", "secret", "token", "key", "credential", "bearer", "authorization", "client", "signature", "jwt", "hmac", "salt", "dsn", "connection")
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=~!@#$%^&*-]{16,}")
-#: Characters after (and, at half, before) a sensitive word in which candidates count; characters around that prime the compressor.
-REACH, AROUND = 96, 512
-NOVEL_SHARE = 0.75
+#: Characters on either side that prime the compressor; the share of the shuffled string's bytes that a key costs at least.
+AROUND, NOVEL_SHARE = 512, 0.88
+#: Distinct characters of a key at least; changes of class for each character of a string without digits.
+DISTINCT, CHANGES = 6, 0.4
 #: Common identifiers and phrases of code and configuration.
 IDENTIFIERS = (
     "password passwd secret token api_key apiKey access_key client_id client_secret private_key public_key authorization bearer username "
@@ -55,40 +63,66 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def marginal_bytes(candidate: str, before: str, after: str) -> int:
-    """Compressed bytes that candidate adds beside its surroundings and the identifier dictionary."""
+def compressor(before: str, after: str) -> zstandard.ZstdCompressor:
+    """One that knows the identifier dictionary and the text around a string."""
     prime = zstandard.ZstdCompressionDict(IDENTIFIERS + b"\n" + after.encode() + b"\n" + before.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    make = zstandard.ZstdCompressor(level=9, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
-    return len(make.compress(candidate.encode())) - len(make.compress(b""))
+    return zstandard.ZstdCompressor(level=9, dict_data=prime, write_checksum=False, write_content_size=False, write_dict_id=False)
+
+
+def novel(word: str, before: str, after: str) -> bool:
+    """Whether word costs about as many bytes beside its surroundings as its characters do in shuffled order."""
+    if len(set(word)) < DISTINCT:
+        return False
+    if not any(x.isdigit() for x in word):
+        kinds = [0 if x.islower() else 1 if x.isupper() else 2 for x in word]
+        if sum(x != y for x, y in zip(kinds, kinds[1:])) < CHANGES * (len(word) - 1):
+            return False
+    # Copies of the string nearby must not make it look familiar.
+    make = compressor(before.replace(word, " "), after.replace(word, " "))
+    base = len(make.compress(b""))
+    cost = len(make.compress(word.encode())) - base
+    shuffled = [len(make.compress("".join(random.Random(seed).sample(word, len(word))).encode())) - base for seed in (1, 2, 3)]
+    return cost >= NOVEL_SHARE * sum(shuffled) / len(shuffled)
+
+
+def sensitive_lines(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every line that holds a sensitive word, with the line after it; in order, overlaps joined."""
+    out: list[tuple[int, int, int]] = []
+    for m in SENSITIVE.finditer(text):
+        if out and m.start() < out[-1][2]:  # on the last word's own line
+            continue
+        start = text.rfind("\n", 0, m.start()) + 1
+        own = text.find("\n", m.end())
+        own = len(text) if own < 0 else own
+        end = text.find("\n", own + 1)
+        out.append((start, len(text) if end < 0 else end, own))
+    joined: list[tuple[int, int]] = []
+    for a, b, _ in out:
+        if joined and a <= joined[-1][1]:
+            joined[-1] = (joined[-1][0], max(b, joined[-1][1]))
+        else:
+            joined.append((a, b))
+    return joined
 
 
 def novel_spans(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     lower = text.lower()
     if not any(h in lower for h in HINTS):
         return []
-    seen, out = set(), []
-    for m in SENSITIVE.finditer(text):
-        low = max(0, m.start() - REACH // 2)
-        # Start and end at the candidate's own ends, so that no string is cut where the reach ends.
-        while low and not text[low - 1].isspace() and m.start() - low < 4 * REACH:
-            low -= 1
-        for c in CANDIDATE.finditer(text, low):
-            if c.start() >= m.end() + REACH:
-                break
-            at = (c.start(), c.end())
-            if at in seen:
-                continue
-            seen.add(at)
-            word = c.group()
-            if not (any(x.isdigit() for x in word) and any(x.isalpha() for x in word)):
-                continue
-            if any(a < at[1] and at[0] < b for a, _, b in base):
+    out, spans = [], []  # base spans joined, so that one pointer tells whether a candidate meets one
+    for a, _, b in base:
+        if spans and a <= spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(b, spans[-1][1]))
+        else:
+            spans.append((a, b))
+    ends = [b for _, b in spans]
+    for low, high in sensitive_lines(text):
+        for c in CANDIDATE.finditer(text, low, high):
+            i = bisect.bisect_right(ends, c.start())
+            if i < len(spans) and spans[i][0] < c.end():
                 continue
-            # Copies of the string nearby must not make it look familiar.
-            before, after = (x.replace(word, " ") for x in (text[max(0, at[0] - AROUND) : at[0]], text[at[1] : at[1] + AROUND]))
-            cost = marginal_bytes(word, before, after)
-            if cost >= NOVEL_SHARE * len(word):
-                out.append((at[0], 3, at[1]))
+            if novel(c.group(), text[max(0, c.start() - AROUND) : c.start()], text[c.end() : c.end() + AROUND]):
+                out.append((c.start(), 3, c.end()))
     return out
 
 
