@@ -1,9 +1,13 @@
 """Line-first cleaning, in DataFrame operations only: rules per line, then rejection of documents that lose too much.
 
-Lines are judged before documents. A line fails if it repeats an earlier one, is mostly punctuation, has the
-separators of a navigation bar, shouts in runs of marks, or holds a boilerplate phrase. Failing lines are removed;
+Lines are judged before documents. A line fails if it repeats an earlier one; if it is mostly punctuation, holds no
+letter, or shouts in runs of marks; if it is a navigation bar (bars, or other separators between items of a few words);
+or if it is boilerplate (a known phrase, a copyright or page mark, or nothing but an address). Failing lines are removed;
 a document that keeps less than half of the characters of its lines is rejected. Beside that verdict stand counts over the
-whole text, computed inside each row with array functions: no shuffle, and no limit on a text's length.
+whole text, computed inside each row with array functions: no shuffle, and no limit on a text's length. clean() gives
+the documents that stay, with what is left of their texts.
+
+How often a line stands in other documents plays no part: copies of a good document would take each other for boilerplate.
 
 Words in repeated 3-word windows are found in two steps: windows are hashed next to their position into one sorted
 array of longs, where equal hashes are neighbours; only those few are compared as text, so the count is exact.
@@ -17,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import fresh, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -27,6 +31,13 @@ SPACE = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 MARKS = r"[!?#*$%&]{2,}"
+LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+#: Separators of navigation bars, and the words that an item between them has at most on average.
+SEPARATOR, ITEM_WORDS = r"[|»›•·→]|\x20[>/]\x20", 4
+#: Lines of one address, a page number or a copyright mark; matched in lower case.
+STRUCTURE = r"^\x20*(https?://|www\.)[^\x20]+\x20*$|^\x20*page\x20+[0-9]+(\x20+of\x20+[0-9]+)?\x20*$|©|\(c\)\x20*[12][0-9][0-9][0-9]"
+#: Parts of texts without which no line can match STRUCTURE.
+STRUCTURE_HINTS = ("://", "www.", "page", "©", "(c)")
 #: Phrases of boilerplate lines, matched in lower case.
 BOILERPLATE = (
     "all rights reserved", "copyright", "licensed under", "license, version", "privacy policy", "cookie policy", "terms of use", "terms of service",
@@ -34,24 +45,31 @@ BOILERPLATE = (
 )
 
 
-def holds_boilerplate(text: F.Column) -> F.Column:
+def holds_any(text: F.Column, phrases: tuple[str, ...]) -> F.Column:
     """Whether a phrase occurs: plain substring searches, far cheaper than one pattern of alternatives."""
     lower, out = F.lower(text), F.lit(False)
-    for phrase in BOILERPLATE:
+    for phrase in phrases:
         out = out | lower.contains(phrase)
     return out
 
 
 def badly_marked(line: F.Column) -> F.Column:
     """Whether a line's punctuation or separators break a rule."""
-    runs = F.regexp_count(line, F.lit(MARKS))
+    runs, words = F.regexp_count(line, F.lit(MARKS)), F.regexp_count(line, F.lit(WORD))
+    parts = F.regexp_count(line, F.lit(SEPARATOR))
     return (
         (F.regexp_count(line, F.lit(PUNCTUATION)) * 5 > F.length(line))
         | (F.regexp_count(line, F.lit(r"\|")) >= 2)
-        | ((runs >= 2) & (runs * 5 >= F.regexp_count(line, F.lit(WORD))))
+        | ((parts >= 2) & (words <= (parts + 1) * ITEM_WORDS))
+        | ((runs >= 2) & (runs * 5 >= words))
+        | ~line.rlike(LETTER)
     )
 
 
+def boilerplate(line: F.Column) -> F.Column:
+    return holds_any(line, BOILERPLATE) | F.lower(line).rlike(STRUCTURE)
+
+
 def measured(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, counts, kept_chars, line_chars, clean text) of every row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -68,9 +86,9 @@ def measured(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") ->
     df = df.withColumn("named", F.expr(named))
     df = df.withColumn("spots", F.expr("sort_array(transform(filter(named, (x, i) -> x.k = get(named, i - 1).k OR x.k = get(named, i + 1).k), x -> x.p))"))
     covered = "aggregate(spots, named_struct('stop', 0, 'sum', 0L), (a, p) -> named_struct('stop', p + 3, 'sum', a.sum + p + 3 - greatest(p, a.stop)), a -> a.sum)"
-    df = df.withColumn("single", F.array_distinct("lines")).withColumn("suspect", holds_boilerplate(F.col("t")))
+    df = df.withColumn("single", F.array_distinct("lines")).withColumn("suspect", holds_any(F.col("t"), BOILERPLATE + STRUCTURE_HINTS))
     # A condition outside the lambdas, so that the whole text is searched once and not for each line.
-    plain, strict = F.filter("single", lambda x: ~badly_marked(x)), F.filter("single", lambda x: ~(badly_marked(x) | holds_boilerplate(x)))
+    plain, strict = F.filter("single", lambda x: ~badly_marked(x)), F.filter("single", lambda x: ~(badly_marked(x) | boilerplate(x)))
     df = df.withColumn("passed", F.when(F.col("suspect"), strict).otherwise(plain))
     lengths = lambda c: F.expr(f"aggregate({c}, 0L, (a, x) -> a + length(x))")
     return df.select(
@@ -93,8 +111,21 @@ def judged(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", min_
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("kept_chars") * 100 >= F.col("line_chars") * min_kept))
 
 
+def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", length_col: str = "n_chars", **limits: int) -> DataFrame:
+    """The rows of docs that are kept, with the lines that passed as their text and length_col (if there is one) set anew."""
+    verdict, text = fresh(docs.columns, "verdict"), F.col(text_col)
+    # The verdict travels inside the row, so that equal or missing ids mix nothing up and nothing is joined.
+    marked = judged(docs.select(text_col, F.struct(*docs.columns).alias(verdict)), text_col, verdict, **limits).where("kept")
+    out = {c: F.col(f"doc_id.`{c}`") for c in docs.columns}
+    out[text_col] = F.col("clean_text").cast(docs.schema[text_col].dataType)
+    if length_col in out:
+        out[length_col] = F.length("clean_text").cast(docs.schema[length_col].dataType)
+    return marked.select(*(x.alias(c) for c, x in out.items()))
+
+
 def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judged(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    out = judged(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "kept_chars", F.sha2(F.col("clean_text").cast("binary"), 256).alias("clean_sha256"))
 
 
 ORACLE_SQL = r"""
@@ -102,18 +133,20 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 win AS (SELECT doc_id, p, array_to_string(w[p:p + 2], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS p FROM d WHERE len(w) >= 3)),
 rep AS (SELECT doc_id, p FROM (SELECT doc_id, p, count(*) OVER (PARTITION BY doc_id, k) AS c FROM win) WHERE c >= 2),
 covered AS (SELECT doc_id, count(DISTINCT q) AS n_repeat_words FROM (SELECT doc_id, unnest(range(p, p + 3)) AS q FROM rep) GROUP BY doc_id),
-lines AS (SELECT doc_id, x FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
-single AS (SELECT DISTINCT doc_id, x FROM lines),
-measured AS (SELECT doc_id, x, len(regexp_extract_all(x, '[!-/:-@\[-`{-~]')) AS marks,
+lines AS (SELECT doc_id, x, i FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS x, unnest(range(len(string_split(t, chr(10))))) AS i FROM d) WHERE regexp_matches(x, '[^\x20\x09-\x0D]')),
+single AS (SELECT doc_id, x, min(i) AS i FROM lines GROUP BY doc_id, x),
+measured AS (SELECT doc_id, x, i, len(regexp_extract_all(x, '[!-/:-@\[-`{-~]')) AS marks, len(regexp_extract_all(x, '[|»›•·→]| [>/] ')) AS parts,
   len(regexp_extract_all(x, '\|')) AS bars, len(regexp_extract_all(x, '[!?#*$%&]{2,}')) AS runs, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) AS n FROM single),
-good AS (SELECT doc_id, sum(length(x)) AS kept_chars FROM measured WHERE NOT (marks * 5 > length(x) OR bars >= 2 OR (runs >= 2 AND runs * 5 >= n)
-  OR regexp_matches(lower(x), 'all rights reserved|copyright|licensed under|license, version|privacy policy|cookie policy|terms of use|terms of service|click here|subscribe to|sign in to|enable javascript|skip to content|powered by')) GROUP BY doc_id),
+good AS (SELECT doc_id, sum(length(x)) AS kept_chars, string_agg(x, chr(10) ORDER BY i) AS clean FROM measured
+  WHERE NOT (marks * 5 > length(x) OR bars >= 2 OR (parts >= 2 AND n <= 4 * (parts + 1)) OR (runs >= 2 AND runs * 5 >= n) OR NOT regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]')
+  OR regexp_matches(lower(x), 'all rights reserved|copyright|licensed under|license, version|privacy policy|cookie policy|terms of use|terms of service|click here|subscribe to|sign in to|enable javascript|skip to content|powered by')
+  OR regexp_matches(lower(x), '^ *(https?://|www\.)[^ ]+ *$|^ *page +[0-9]+( +of +[0-9]+)? *$|©|\(c\) *[12][0-9][0-9][0-9]')) GROUP BY doc_id),
 total AS (SELECT doc_id, sum(length(x)) AS line_chars, count(*) - count(DISTINCT x) AS n_dup_lines FROM lines GROUP BY doc_id),
 f AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
   CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
-  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars, coalesce(line_chars, 0) AS line_chars
+  CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, coalesce(kept_chars, 0) AS kept_chars, coalesce(line_chars, 0) AS line_chars, coalesce(clean, '') AS clean
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN good USING (doc_id) LEFT JOIN total USING (doc_id))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND kept_chars * 100 >= line_chars * 50 AS kept
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND kept_chars * 100 >= line_chars * 50 AS kept, CAST(kept_chars AS BIGINT) AS kept_chars, sha256(clean) AS clean_sha256
 FROM f
 """
