@@ -16,6 +16,7 @@ are ordered by a hash of their text; exact repeats are written each. An empty ta
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 
@@ -40,6 +41,25 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: The normalizer and the pre-tokenizer that WordEncoder's short way stands in for. Any other goes through the whole tokenizer.
+WORD_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+WORD_SPLITTER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
+
+
+def splits_words(path: str) -> bool:
+    """Whether a tokenizer file splits texts in the way that WordEncoder's short way does."""
+    with open(path, encoding="utf-8") as f:
+        kind = json.load(f)
+    added = [x["content"] for x in kind["added_tokens"]]
+    return kind["normalizer"] == WORD_NORMALIZER and kind["pre_tokenizer"] == WORD_SPLITTER and kind["post_processor"] is None and all("<|" in x and " " not in x for x in added)
+
+
 def byte_letters() -> list[str]:
     """The letter that byte-level BPE writes for each byte: itself if printable, else the next one from U+0100 on."""
     plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -87,13 +107,25 @@ class WordEncoder:
             return b"".join(map(known.__getitem__, chunks))
 
 
-_encoders: dict[str, WordEncoder] = {}
+class WholeEncoder:
+    """Encodes each text as a whole, with any tokenizer."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self.whole = Tokenizer.from_file(path)
+
+    def encode(self, text: str) -> bytes:
+        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+
+_encoders: dict[str, WordEncoder | WholeEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """One per Python worker: what it remembers serves all of the worker's tasks."""
+def encoder(path: str) -> WordEncoder | WholeEncoder:
+    """One per Python worker: what it remembers serves all of the worker's tasks. The file itself tells which kind is right."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        _encoders[path] = WordEncoder(path) if splits_words(path) else WholeEncoder(path)
     return _encoders[path]
 
 
