@@ -186,49 +186,59 @@ def plain_pair(spark, sf_dir, of: str = "true") -> tuple[DataFrame, DataFrame]:
     return q, both_strands(from_table(table(spark, sf_dir, "documents").where(of), "doc_id", unknown=False))
 
 
+def joined_places(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("ap", F.array_join("ap", ";"))
+
+
 def sw_local(spark, sf_dir):
-    return align.sw(*plain_pair(spark, sf_dir))
+    return joined_places(align.sw(*plain_pair(spark, sf_dir), max_pos=3))
+
+
+def unmapped(spark, sf_dir):
+    out = align.sw(*plain_pair(spark, sf_dir), unmapped=True)
+    return out.where("tname is null").select("qname", "qlen")
+
+
+#: Windows of the queries for end-to-end alignment, and the score they are held to: two mismatches or a gap of one or two bases.
+K, STEP, WINDOW_SCORING = 32, 4, Scoring(min_score=24)
+
+
+def window_pair(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The windows of the queries as queries of their own, named name:start-end, and the subject."""
+    q, ref = plain_pair(spark, sf_dir)
+    return kmers.fa2kmer(q, K, STEP).select(F.col("header").alias("name"), "seq"), ref
 
 
 def sw_e2e(spark, sf_dir):
-    return align.sw(*plain_pair(spark, sf_dir), end_to_end=True)
+    return joined_places(align.sw(*window_pair(spark, sf_dir), WINDOW_SCORING, end_to_end=True, max_pos=3))
 
 
 def all_e2e(spark, sf_dir):
-    heads, _ = align.all_e2e(*plain_pair(spark, sf_dir), both=True)
+    heads, _ = align.all_e2e(*window_pair(spark, sf_dir), WINDOW_SCORING, both=True)
     return heads
 
 
 def all_e2e_hits(spark, sf_dir):
-    _, rows = align.all_e2e(*plain_pair(spark, sf_dir), both=True)
+    _, rows = align.all_e2e(*window_pair(spark, sf_dir), WINDOW_SCORING, max_total=20, both=True)
     return rows
 
 
-def unmapped(spark, sf_dir):
-    out = align.sw(*plain_pair(spark, sf_dir), unmapped=True)
-    return out.where("tname is null").select("qname", "qlen")
-
-
-#: Windows of the queries for the tools below; the scores that they are held to.
-K, STEP, WINDOW_SCORING = 32, 4, Scoring(min_score=16)
-
-
 def allele_windows(spark, sf_dir, of: str = "true") -> tuple[DataFrame, DataFrame]:
-    return align.window_hits(*plain_pair(spark, sf_dir, of), K, STEP, WINDOW_SCORING, 11)
+    return align.window_hits(*plain_pair(spark, sf_dir, of), K, STEP, WINDOW_SCORING)
 
 
 def hapdiv(spark, sf_dir):
-    return longs(align.hapdiv(*plain_pair(spark, sf_dir), K, STEP, WINDOW_SCORING, 11), "st", "en")
+    return longs(align.hapdiv(*plain_pair(spark, sf_dir), K, STEP, WINDOW_SCORING), "st", "en")
 
 
 def mapflt(spark, sf_dir):
-    return posthoc.mapflt(*allele_windows(spark, sf_dir), 2, 5, 10)
+    return longs(posthoc.mapflt(*allele_windows(spark, sf_dir), 2, 5, 10), "st", "en")
 
 
 def mapflt2(spark, sf_dir):
     windows, ref = allele_windows(spark, sf_dir, "source = 'src0'")
     _, pan = allele_windows(spark, sf_dir)
-    return posthoc.mapflt2(windows, ref, pan, 4)
+    return longs(posthoc.mapflt2(windows, ref, pan, 4), "st", "en")
 
 
 def uniqmer(spark, sf_dir):
@@ -253,7 +263,7 @@ def mem_stream(spark, sf_dir):
 
 def e2e_text(spark, sf_dir):
     """all_e2e written as text records and read back."""
-    heads, rows = align.all_e2e(*plain_pair(spark, sf_dir), both=True)
+    heads, rows = align.all_e2e(*window_pair(spark, sf_dir), WINDOW_SCORING, both=True)
     path = shared_dir(spark)
     formats.write_e2e(heads, rows, path)
     return formats.read_e2e(spark, path)

@@ -3,7 +3,7 @@ import random
 from sequence_samples import asked, sources
 
 from helixframe.functions.alphabet import parse_size
-from helixframe.functions.dp import Scoring, align
+from helixframe.functions.dp import Scoring, align, seed_plan
 from helixframe.operators import align as al
 from helixframe.operators import posthoc
 from helixframe.sources import formats
@@ -11,25 +11,29 @@ from helixframe.sources.sequences import both_strands
 from helixframe.streaming.search import stream_append, stream_mem
 
 
-def best(q, r, sc, local):
-    """Score by the plain three-table recurrence."""
+def plain(q, r, sc, local, end_len):
+    """Scores by begin of all alignments that end with the query and begin with an aligned base, and the best of any; by the plain three-table recurrence from the right end."""
+    q, r, no = q[::-1], r[::-1], -(10**6)
     m, n, o, e = len(q), len(r), sc.gap_open, sc.gap_extend
-    h = [[0] * (n + 1) for _ in range(m + 1)]
-    v, w = ([[-(10**6)] * (n + 1) for _ in range(m + 1)] for _ in range(2))
-    top = -(10**6)
+    h, v = ([[no] * (n + 1) for _ in range(m + 1)] for _ in range(2))
+    ends, top = {}, no
+    above = lambda x: x if x > 0 else no
     for i in range(1, m + 1):
+        w = no
         for j in range(n + 1):
-            v[i][j] = max(h[i - 1][j] - o - e, v[i - 1][j] - e)
-            h[i][j] = v[i][j]
+            v[i][j] = above(max(h[i - 1][j] - o - e, v[i - 1][j] - e))
+            d = no
             if j:
-                w[i][j] = max(h[i][j - 1] - o - e, w[i][j - 1] - e)
-                d = h[i - 1][j - 1] + (sc.match if q[i - 1] == r[j - 1] != "N" else -sc.mismatch)
-                h[i][j] = max(h[i][j], w[i][j], d)
-                if local or i == m:
-                    top = max(top, d)
-            if local:
-                h[i][j] = max(0, h[i][j])
-    return top
+                d = above(h[i - 1][j - 1] + (sc.match if q[i - 1] == r[j - 1] != "N" else -sc.mismatch))
+                k = end_len
+                if i >= k and j >= k and q[i - k : i] == r[j - k : j] and "N" not in q[i - k : i] and (local or i == k):
+                    d = max(d, k * sc.match)
+                if i == m:
+                    ends[n - j] = d
+            h[i][j] = max(v[i][j], d, w)
+            w = above(max(h[i][j] - o - e, w - e))
+            top = max(top, h[i][j])
+    return ends, top
 
 
 def rescored(x, q, r, sc):
@@ -50,17 +54,70 @@ def rescored(x, q, r, sc):
 
 def test_kernel_against_plain_recurrence():
     rng = random.Random(2)
-    for t in range(120):
-        q = "".join(rng.choice("ACGTN") for _ in range(rng.randint(1, 20)))
-        r = "".join(rng.choice("ACGT") for _ in range(rng.randint(1, 25)))
+    for t in range(150):
+        letters = "ACGTN" if t % 3 else "AC"
+        q = "".join(rng.choice(letters) for _ in range(rng.randint(1, 20)))
+        r = "".join(rng.choice(letters[:4]) for _ in range(rng.randint(1, 25)))
         if t % 2:
             r = r[:5] + q[: len(q) // 2] + rng.choice(["", "AC"]) + q[len(q) // 2 :] + r[5:]
-        for local in (False, True):
-            sc = Scoring(min_score=1 if local else -1000)
-            got, want = align([q], [r], sc, local)[0], best(q, r, sc, local)
-            assert (got is None) == (want < sc.min_score)
-            if got:
-                assert got[0] == want and rescored(got, q, r, sc)
+        for local, end_len in ((False, 1), (True, 3), (False, 2), (True, 1)):
+            sc, core = Scoring(min_score=rng.choice([2, 5, 9])), rng.randint(1, len(r))
+            got, (ends, top) = align([q], [r], [core], sc, local, end_len)[0], plain(q, r, sc, local, end_len)
+            assert all(rescored(x, q, r, sc) for x in got)
+            if local:
+                assert {x[0] for x in got} == ({top} if top >= sc.min_score else set())
+            else:
+                assert {x[3]: x[0] for x in got} == {b: s for b, s in ends.items() if b < core and s >= sc.min_score}
+
+
+def test_enough_seeds_are_left_by_any_edits():
+    """Every alignment within the cost that a seed plan allows keeps the seeds that it promises."""
+    rng = random.Random(6)
+    for _ in range(400):
+        m, sc = rng.randint(20, 60), Scoring(min_score=16)
+        q = "".join(rng.choice("ACGT") for _ in range(m))
+        size, need = seed_plan(m, sc) or (0, 0)
+        if not size:
+            continue
+        left, i, kept, run = m - sc.min_score, 0, 0, 0
+        while i < m:  # kept q-mers are runs of unchanged bases
+            kind = rng.choice("=====X") if left >= 4 else "="
+            if rng.random() < 0.05 and left >= 8:
+                left, run, i = left - 8, 0, i + 1
+            elif rng.random() < 0.05 and left >= 7:
+                left, run = left - 7, 0
+            elif kind == "X":
+                left, run, i = left - 4, 0, i + 1
+            else:
+                run, i = run + 1, i + 1
+                kept += run >= size
+        assert kept >= need
+
+
+def test_end_to_end_hits_against_plain_recurrence(spark):
+    """Every begin of an alignment that scores enough is found, with edits spread evenly and in repeats."""
+    rng = random.Random(12)
+    base = "".join(rng.choice("ACGT") for _ in range(32))
+    spread = "".join(("ACGT"[("ACGT".index(c) + 1) % 4] if i in (8, 17, 25) else c) for i, c in enumerate(base))
+    seqs = ["GGAT" + base + "CCTA", "TTT" + spread + "GA", base[:15] + base[16:] + "T", base[:12] + "AC" + base[12:], "CAT" * 30, base[:20] + "G" * 14 + base[20:]]
+    queries = [("q", base), ("rep", "CAT" * 11), (None, base), ("q", base[3:30]), ("n", "")]
+    ref = both_strands(sources(spark, *seqs)).persist()
+    sc = Scoring(min_score=18)
+    want = {}
+    texts = {r.sid: r.seq for r in ref.collect()}
+    for _, q in queries:
+        want[q] = sorted((sid, b, s) for sid, r in texts.items() for b, s in plain(q, r, sc, False, 1)[0].items() if s >= 18)
+    seqs = al.by_sequence(spark.createDataFrame(queries, "name string, seq string"))[1]
+    got = al.hits(seqs, ref, sc, None, False, 1).collect()
+    for _, q in queries:
+        assert sorted((r.sid, r.rst, r.score) for r in got if r.seq == q) == want[q]
+    assert len(want[base]) >= 4 and len(want["CAT" * 11]) > 10
+    heads, hits = al.all_e2e(spark.createDataFrame(queries, "name string, seq string"), ref, sc)
+    assert sorted((str(r.qname), r.qlen) for r in heads.collect()) == sorted((str(n), len(q)) for n, q in queries)
+    by = [(r.qname, r.cnt, r.score, r.cs) for r in hits.collect()]
+    assert sorted(x[1:] for x in by if x[0] is None) == sorted(set(x[1:] for x in by if x[0] is None)) and any(x[0] is None for x in by)
+    rep = {x[3]: x[1] for x in by if x[0] == "rep"}
+    assert rep[":33"] == 20  # every place of the period
 
 
 def test_alignments(spark):
@@ -73,14 +130,17 @@ def test_alignments(spark):
     hit = next(r for r in local if r.qname == "q")
     assert (hit.AS, hit.rh, hit.strand, hit.tst, hit.ten, hit.cs) == (40, 2, "+", 2, 42, ":40")
     assert any(r.qname == "none" and r.tname is None for r in local)
-    heads, hits = al.all_e2e(q, ref, both=True)
+    assert (hit.qh, hit.ap) == (1, [])
+    more = al.sw(q, ref, Scoring(min_score=34), end_to_end=True, max_pos=2).collect()
+    assert sorted((r.AS, r.rh, r.ap) for r in more) == [(36, 1, []), (40, 2, ["n1,+,2"])]
+    heads, hits = al.all_e2e(q, ref, Scoring(min_score=34), both=True)
     one = {(r.qname, r.strand): r for r in heads.collect()}
     assert (one["q", "+"].n_allele, one["q", "+"].total) == (2, 3) and (one["q", "-"].n_allele, one["none", "+"].total) == (2, 0)
     got = sorted((r.strand, r.cnt, r.score, r.ed) for r in hits.where("qname = 'q'").collect())
     assert got == [("+", 1, 36, 1), ("+", 2, 40, 0), ("-", 1, 36, 1), ("-", 2, 40, 0)]
-    heads, hits = al.all_e2e(q, ref, max_total=1)
+    heads, hits = al.all_e2e(q, ref, Scoring(min_score=34), max_total=1)
     assert heads.where("qname = 'q'").first().n_out == 1
-    div = al.hapdiv(q.where("name = 'q'"), ref, 30, 5, Scoring(min_score=20), 10).orderBy("st").collect()
+    div = al.hapdiv(q.where("name = 'q'"), ref, 30, 5, Scoring(min_score=20)).orderBy("st").collect()
     assert all(r.h0 + r.h1 == 3 for r in div) and div[0].st == 0 and div[-1].en == 40
 
 
