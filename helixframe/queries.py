@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import oracles
 from .functions.alphabet import encode, reverse_complement
 from .functions.dp import Scoring
 from .operators import align, exact, kmers, posthoc
@@ -385,4 +386,17 @@ def oracle_sql() -> dict[str, str]:
         "g AS (SELECT z.name, z.qlen, z.p, z.p - row_number() OVER (PARTITION BY z.name ORDER BY z.p) AS i FROM z LEFT JOIN y ON z.name = y.name AND z.p = y.p WHERE y.p IS NULL) SELECT name, CAST(min(p) AS BIGINT) AS st, CAST(max(p) + 1 AS BIGINT) AS en, CAST(qlen AS BIGINT) AS qlen FROM g GROUP BY name, qlen, i HAVING count(*) >= 5",
         "mem_pos": smems(19, 1) + f", n AS ({MATCHES}), y AS (SELECT n.name, n.st, n.en, n.cnt, e.ctg, e.strand, CASE WHEN e.strand = 0 THEN e.p ELSE e.rlen - e.p - (n.en - n.st) END AS pos, row_number() OVER (PARTITION BY n.name, n.st ORDER BY e.sid, e.p) - 1 AS i FROM n JOIN e ON n.name = e.name AND e.x = n.st AND e.x + e.l >= n.en) "
         "SELECT name, st, en, cnt, CAST(i AS BIGINT) AS i, ctg, CASE WHEN strand = 0 THEN '+' ELSE '-' END AS strand, CAST(pos AS BIGINT) AS pos FROM y WHERE i < 3",
+        "sw_local": oracles.sw_local(Scoring(), 11, 3),
+        "unmapped": oracles.sw_local(Scoring(), 11, 0, True),
+        "sw_e2e": oracles.sw_e2e(K, STEP, WINDOW_SCORING, 3),
+        "all_e2e": oracles.all_e2e(K, STEP, WINDOW_SCORING),
+        "all_e2e_hits": oracles.all_e2e_hits(K, STEP, WINDOW_SCORING, 20),
+        "e2e_text": oracles.all_e2e_hits(K, STEP, WINDOW_SCORING),
+        "hapdiv": oracles.hapdiv(K, STEP, WINDOW_SCORING),
+        "mapflt": oracles.mapflt(K, STEP, WINDOW_SCORING, 2, 5, 10),
+        "mapflt2": oracles.mapflt2(K, STEP, WINDOW_SCORING, "source = 'src0'", 4),
+        "uniqmer": oracles.uniqmer(K, STEP, WINDOW_SCORING, 5, 2, 50),
+        "call": oracles.call(K, STEP, WINDOW_SCORING, 2, conflicts=True),
+        "getsnp": oracles.call(K, STEP, WINDOW_SCORING, 2, keep_single=True, then=oracles.SNPS),
+        "vcf_text": oracles.call(K, STEP, WINDOW_SCORING, 2),
     }
