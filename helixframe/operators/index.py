@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.alphabet import SYMBOLS
-from ..plans.suffix_order import suffix_array
+from ..plans.lineage import materialize
+from ..plans.suffix_order import from_symbols, suffix_array
 from ..sources.sequences import both_strands
+from .kmers import positions
 
 #: Rows of the BWT whose symbol counts are summed up in one block row; a rank is a block's sum plus a scan of one block.
 BLOCK = 4096
@@ -30,7 +32,7 @@ def ordered(sequences: DataFrame, order: str) -> DataFrame:
     rows = sequences.withColumn("__key", key).withColumn("__bucket", F.substring("__key", 1, 8))
     before = rows.groupBy("__bucket").agg(F.count("*").alias("n"))
     before = before.withColumn("__base", F.sum("n").over(Window.orderBy("__bucket")) - F.col("n")).drop("n")
-    rows = rows.join(F.broadcast(before), "__bucket")
+    rows = rows.join(materialize(before), "__bucket")
     place = F.row_number().over(Window.partitionBy("__bucket").orderBy("__key", "sid")) - 1
     return rows.withColumn("sid", F.col("__base") + place).drop("__key", "__bucket", "__base")
 
@@ -42,7 +44,7 @@ def sums_before(blocks: DataFrame, names: list[str]) -> DataFrame:
     top = Window.orderBy("outer").rowsBetween(Window.unboundedPreceding, -1)
     outer = outer.select("outer", *(F.coalesce(F.sum(c).over(top), F.lit(0)).alias(f"o{c}") for c in names))
     own = Window.partitionBy("outer").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(F.broadcast(outer), "outer").select("block", *((F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"o{c}")).alias(c) for c in names))
+    return rows.join(materialize(outer), "outer").select("block", *((F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"o{c}")).alias(c) for c in names))
 
 
 class Index:
@@ -59,24 +61,45 @@ class Index:
 
     @classmethod
     def merge(cls, *indexes: "Index") -> "Index":
-        """The index of all sequences, those of later indexes numbered after those of earlier ones."""
+        """The index of all sequences, those of later indexes numbered after those of earlier ones.
+
+        Every index's own order is used: only suffixes of different indexes that begin alike are compared anew.
+        """
         if not indexes:
             raise ValueError("nothing to merge")
-        base, parts = 0, []
-        for x in indexes:
+        base, parts, orders = 0, [], []
+        for n, x in enumerate(indexes):
             parts.append(x.sequences.withColumn("sid", F.col("sid") + base).withColumn("src_id", F.col("src_id") + base // 2))
+            orders.append(x.sa.select((F.col("sid") + base).alias("sid"), F.col("pos").cast("int").alias("pos"), F.lit(n).alias("part"), F.col("rk").alias("known_rk")))
             top = x.sequences.agg(F.max("sid")).first()[0]
             base += 0 if top is None else (top // 2 + 1) * 2
         sequences = reduce(DataFrame.unionByName, parts)
-        return cls(sequences, suffix_array(sequences))
+        return cls(sequences, suffix_array(sequences, reduce(DataFrame.unionByName, orders)))
 
     def append(self, sources: DataFrame) -> "Index":
         """This index with more sequences; src_id of the new ones counts from 0."""
-        both = both_strands(sources)
-        return Index.merge(self, Index(both, None))
+        return Index.merge(self, Index.build(sources))
 
-    def save(self, path: str) -> None:
-        """Parquet tables; sa is written in ranges of rk, so that a read by rk touches few row groups."""
+    @classmethod
+    def from_bwt(cls, bwt: DataFrame) -> "Index":
+        """The index that a BWT (rk, sym) stands for; sequences come without names, and their strand is that of an index of both strands."""
+        bwt = materialize(bwt.select("rk", "sym"))
+        sa = materialize(from_symbols(bwt, cls(None, bwt).lf()))
+        # A sequence's symbols stand before its suffixes but the first.
+        letters = F.array_sort(F.collect_list(F.when(F.col("pos") > 0, F.struct("pos", "sym"))))
+        rows = sa.groupBy("sid").agg(F.array_join(F.transform(letters, lambda x: x["sym"]), "").alias("seq"))
+        src = F.floor(F.col("sid") / 2).cast("long")
+        sequences = rows.select("sid", src.alias("src_id"), F.lit(None).cast("string").alias("name"), (F.col("sid") % 2).cast("byte").alias("strand"), "seq", F.length("seq").alias("len"))
+        return cls(sequences, sa)
+
+    def kmers(self, k: int) -> DataFrame:
+        """(kmer, sid, pos) of every k-mer of the sequences: the seeds that the searches of exact.py can be given."""
+        return positions(self.sequences, k, ("sid",)).select("kmer", "sid", "pos")
+
+    def save(self, path: str, k: int | None = None) -> None:
+        """Parquet tables; sa is written in ranges of rk, so that a read by rk touches few row groups, and k-mers, if k is given, in ranges of k-mers."""
+        if k:
+            self.kmers(k).repartitionByRange("kmer", "sid").sortWithinPartitions("kmer").write.parquet(f"{path}/kmers")
         self.sequences.write.parquet(f"{path}/sequences")
         self.sa.repartitionByRange("rk").sortWithinPartitions("rk").write.parquet(f"{path}/sa")
 
@@ -113,17 +136,21 @@ class Index:
         """(rk, sym, to): the row of the suffix one symbol longer; rows of $ lead to the sentinels' rows in their own order."""
         rows = self.sa.withColumn("block", (F.col("rk") / BLOCK).cast("long"))
         own = F.row_number().over(Window.partitionBy("block", "sym").orderBy("rk")) - 1
-        rows = rows.withColumn("own", own).join(F.broadcast(self.blocks()), "block").join(F.broadcast(self.acc()), "sym")
+        rows = rows.withColumn("own", own).join(materialize(self.blocks()), "block").join(F.broadcast(self.acc()), "sym")
         before = F.element_at(F.array(*(F.col(f"c_{i}") for i in range(len(SYMBOLS)))), F.position(F.col("sym"), F.lit(SYMBOLS)).cast("int"))
         return rows.select("rk", "sym", (F.col("acc") + before + F.col("own")).alias("to"))
 
     def rank(self, at: DataFrame) -> DataFrame:
-        """at: column k. (k, sym, c_0 ... c_5): the symbol of row k, and the symbols of each kind in the rows before it."""
+        """at: column k. (k, sym, c_0 ... c_5): the symbol of row k, and the symbols of each kind in the rows before it.
+
+        Running counts inside each block that is asked for, so that many questions cost no more than one.
+        """
         names = [f"c_{i}" for i in range(len(SYMBOLS))]
-        asked = at.select("k", (F.col("k") / BLOCK).cast("long").alias("block")).distinct()
-        rows = self.sa.select("rk", "sym", (F.col("rk") / BLOCK).cast("long").alias("block")).join(asked, "block").where("rk <= k")
-        scan = rows.groupBy("k", "block").agg(*(F.count_if((F.col("sym") == s) & (F.col("rk") < F.col("k"))).alias(f"s_{i}") for i, s in enumerate(SYMBOLS)), F.max_by("sym", "rk").alias("sym"))
-        return scan.join(self.blocks(), "block").select("k", "sym", *((F.col(c) + F.col(f"s_{i}")).alias(c) for i, c in enumerate(names)))
+        asked = materialize(at.select("k", (F.col("k") / BLOCK).cast("long").alias("block")).distinct())
+        rows = self.sa.select("rk", "sym", (F.col("rk") / BLOCK).cast("long").alias("block")).join(asked.select("block").distinct(), "block", "left_semi")
+        so_far = Window.partitionBy("block").orderBy("rk").rowsBetween(Window.unboundedPreceding, -1)
+        rows = rows.select("block", F.col("rk").alias("k"), "sym", *(F.count_if(F.col("sym") == s).over(so_far).alias(f"s_{i}") for i, s in enumerate(SYMBOLS)))
+        return rows.join(asked, ["block", "k"]).join(materialize(self.blocks()), "block").select("k", "sym", *((F.col(c) + F.col(f"s_{i}")).alias(c) for i, c in enumerate(names)))
 
     def runs(self) -> DataFrame:
         """(run_id, start, sym, len): maximal runs of equal symbols, by islands within blocks that are then joined up."""
@@ -136,7 +163,7 @@ class Index:
         heads = heads.join(edge, "block", "left").where(~goes_on).select("rk", "sym", "block")
         base = sums_before(heads.groupBy("block").agg(F.count("*").alias("base")), ["base"])
         place = F.row_number().over(Window.partitionBy("block").orderBy("rk")) - 1
-        runs = heads.join(F.broadcast(base), "block").select((F.col("base") + place).alias("run_id"), F.col("rk").alias("start"), "sym")
+        runs = heads.join(materialize(base), "block").select((F.col("base") + place).alias("run_id"), F.col("rk").alias("start"), "sym")
         following = runs.select((F.col("run_id") - 1).alias("run_id"), F.col("start").alias("stop"))
         total = self.sa.agg(F.count("*").alias("total"))
         out = runs.join(following, "run_id", "left").crossJoin(F.broadcast(total))

@@ -13,13 +13,17 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.alphabet import collated
-from .lineage import materialize
+from .lineage import discard, materialize
 
 FIRST, BUCKET = 32, 8
 
 
-def suffix_array(sequences: DataFrame, first: int = FIRST, bucket: int = BUCKET) -> DataFrame:
-    """(rk, sid, pos, sym) for sequences (sid, seq): rk counts from 0, sym is the symbol before the suffix ($ at its start)."""
+def suffix_array(sequences: DataFrame, known: DataFrame | None = None, first: int = FIRST, bucket: int = BUCKET) -> DataFrame:
+    """(rk, sid, pos, sym) for sequences (sid, seq): rk counts from 0, sym is the symbol before the suffix ($ at its start).
+
+    known: (sid, pos, part, known_rk), the orders of parts of the sequences, every suffix in one of them. Suffixes that
+    tie are then ordered by the rank they have already, unless they come from different parts.
+    """
     rows = sequences.select("sid", collated(F.col("seq")).cast("binary").alias("raw"))
     rows = rows.select("sid", "raw", F.explode(F.sequence(F.lit(0), F.length("raw"))).alias("pos"))
     key = F.substring(F.col("raw"), F.col("pos") + 1, F.lit(first)).cast("string")
@@ -28,21 +32,56 @@ def suffix_array(sequences: DataFrame, first: int = FIRST, bucket: int = BUCKET)
     rows = rows.select(
         "sid", "pos", F.when(ends, F.concat(key, F.lit("$"))).otherwise(key).alias("key"), F.when(ends, F.col("sid")).otherwise(F.lit(-1)).cast("long").alias("tie"), before.alias("sym")
     )
+    if known is not None:
+        rows = rows.join(known, ["sid", "pos"])
+    also = [] if known is None else ["part", "known_rk"]
     rows = materialize(rows)
     # Distinct keys only are ranked, so that copies cost one row; a bucket is a short prefix, offset by the rows of the buckets before it.
-    distinct = rows.groupBy("key", "tie").agg(F.count("*").alias("n")).withColumn("bucket", F.substring("key", 1, bucket))
+    parts = F.lit(True) if known is None else F.min("part") != F.max("part")
+    distinct = rows.groupBy("key", "tie").agg(F.count("*").alias("n"), ((F.count("*") > 1) & parts).alias("tied")).withColumn("bucket", F.substring("key", 1, bucket))
     sizes = distinct.groupBy("bucket").agg(F.sum("n").alias("size"))
-    offsets = sizes.withColumn("offset", F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).drop("size")
+    offsets = materialize(sizes.withColumn("offset", F.sum("size").over(Window.orderBy("bucket")) - F.col("size")).drop("size"))
     inside = F.sum("n").over(Window.partitionBy("bucket").orderBy("key", "tie")) - F.col("n")
-    ranked = distinct.withColumn("inside", inside).join(F.broadcast(offsets), "bucket").select("key", "tie", (F.col("offset") + F.col("inside")).alias("rk"), "n")
-    state = materialize(rows.join(ranked, ["key", "tie"]).select("rk", "sid", "pos", "sym", (F.col("n") > 1).alias("tied")))
+    ranked = distinct.withColumn("inside", inside).join(offsets, "bucket").select("key", "tie", (F.col("offset") + F.col("inside")).alias("rk"), "n", "tied")
+    state = rows.join(ranked, ["key", "tie"]).select("rk", "sid", "pos", "sym", "n", "tied", *also)
+    settled = lambda df: df
+    if known is not None:  # groups of one part are in that part's order already
+        place = F.row_number().over(Window.partitionBy("rk").orderBy("known_rk")) - 1
+        settled = lambda df: df.where("tied or n = 1").unionByName(df.where("not tied and n > 1").withColumn("rk", (F.col("rk") + place).cast("long")))
+    state = materialize(settled(state).drop("n"))
+    discard(rows, offsets)
     step = first
     while not (open_rows := state.where("tied")).isEmpty():
         later = state.select("sid", (F.col("pos") - step).alias("pos"), F.col("rk").alias("next"))
         group = Window.partitionBy("rk")
         again = open_rows.join(later, ["sid", "pos"]).withColumn("place", F.rank().over(group.orderBy("next")) - 1)
-        again = again.select((F.col("rk") + F.col("place")).alias("rk"), "sid", "pos", "sym")
-        again = again.withColumn("tied", F.count("*").over(group) > 1)
-        state = materialize(state.where("not tied").unionByName(again))
-        step *= 2
+        again = again.select((F.col("rk") + F.col("place")).cast("long").alias("rk"), "sid", "pos", "sym", *also).withColumn("n", F.count("*").over(group))
+        mixed = F.lit(True) if known is None else F.min("part").over(group) != F.max("part").over(group)
+        again = again.withColumn("tied", (F.col("n") > 1) & mixed)
+        after = materialize(state.where("not tied").unionByName(settled(again).drop("n")))
+        discard(state)
+        state, step = after, step * 2
     return state.select("rk", "sid", F.col("pos").cast("long").alias("pos"), "sym")
+
+
+def from_symbols(bwt: DataFrame, lf: DataFrame) -> DataFrame:
+    """(rk, sid, pos, sym) of a BWT (rk, sym) and its steps lf (rk, sym, to), by pointer jumping.
+
+    The row that a step leads to knows the row before it; the rows of the sentinels are the first. In each round every
+    row doubles how far it looks back, so that a sequence of n symbols takes log n joins.
+    """
+    back = lf.where("sym <> '$'").select(F.col("to").alias("rk"), F.col("rk").alias("head"), F.lit(1).cast("long").alias("away"))
+    heads = bwt.join(back.select("rk"), "rk", "left_anti").select("rk", F.col("rk").alias("head"), F.lit(0).cast("long").alias("away"))
+    state = materialize(back.unionByName(heads))
+    while True:
+        ahead = state.select(F.col("rk").alias("head"), F.col("head").alias("far"), F.col("away").alias("more"))
+        after = materialize(state.join(ahead, "head").select("rk", F.col("far").alias("head"), (F.col("away") + F.col("more")).alias("away"), (F.col("more") > 0).alias("moved")))
+        done = after.where("moved").isEmpty()
+        discard(state)
+        state = after
+        if done:
+            break
+        state = state.drop("moved")
+        state.scratch_folder = after.scratch_folder
+    size = state.groupBy("head").agg(F.max("away").alias("size"))
+    return state.join(size, "head").join(bwt, "rk").select("rk", F.col("head").alias("sid"), (F.col("size") - F.col("away")).alias("pos"), "sym")

@@ -109,7 +109,7 @@ def lf(spark, sf_dir):
 def rank(spark, sf_dir):
     index = conversation_index(spark, sf_dir)
     index.sa = materialize(index.sa)
-    return index.rank(index.sa.where("pos = 0").select(F.col("rk").alias("k")))
+    return index.rank(index.sa.select(F.col("rk").alias("k")))
 
 
 def get(spark, sf_dir):
@@ -132,10 +132,26 @@ def ssa_sample(spark, sf_dir):
 def merge(spark, sf_dir):
     """The user's turns and all others, indexed apart and merged."""
     rows = table(spark, sf_dir, "conversations")
-    user, other = (Index(both_strands(turns(rows.where(w))), None) for w in ("role = 'user'", "coalesce(role, '') <> 'user'"))
+    user, other = (Index.build(turns(rows.where(w))) for w in ("role = 'user'", "coalesce(role, '') <> 'user'"))
     return Index.merge(user, other).bwt()
 
 
+def from_bwt(spark, sf_dir):
+    """Sequences and suffixes recovered from the BWT alone."""
+    return Index.from_bwt(conversation_index(spark, sf_dir).bwt()).sa
+
+
+def mem_indexed(spark, sf_dir):
+    """mem on a saved index, whose k-mers are read instead of cut anew."""
+    path = shared_dir(spark)
+    Index(subject(spark, sf_dir), None).kmers(19).repartitionByRange("kmer", "sid").sortWithinPartitions("kmer").write.parquet(f"{path}/kmers")
+    return longs(exact.mem(asked(spark, sf_dir), subject(spark, sf_dir), 19, 1, spark.read.parquet(f"{path}/kmers")), "st", "en")
+
+
+def mem_old(spark, sf_dir):
+    return longs(exact.old_mem(asked(spark, sf_dir), subject(spark, sf_dir), 15, 3), "st", "en")
+
+
 def locate_rows(spark, sf_dir):
     """Suffixes between the first row of every sequence and the next three, by (sid, pos)."""
     index = conversation_index(spark, sf_dir)
@@ -257,7 +273,7 @@ def getsnp(spark, sf_dir):
 def mem_stream(spark, sf_dir):
     """mem over the benchmark table read as a stream of files, its results appended batch by batch."""
     schema = table(spark, sf_dir, "benchmark").schema
-    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet*")
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/benchmark.parque[t]")  # a glob, as a stream reads no single file
     queries = from_table(rows, "item_id").select("name", "seq")
     return longs(stream_mem(queries, subject(spark, sf_dir), 19), "st", "en")
 
@@ -279,7 +295,7 @@ def vcf_text(spark, sf_dir):
 
 QUERIES = [
     nt6_encode, revcomp, fa2line, fa2kmer, kount, kount_multi, stat_symbols, sa_order, bwt, plain_bwt, bwt_runs, stat, acc, lf, rank, get, rlo_bwt, rclo_bwt,
-    ssa_sample, merge, locate_rows, count, locate, suffix, presence, mem, mem_minocc, mem_gap, mem_cov, mem_pos,
+    ssa_sample, merge, from_bwt, locate_rows, count, locate, suffix, presence, mem, mem_minocc, mem_indexed, mem_old, mem_gap, mem_cov, mem_pos,
     sw_local, sw_e2e, all_e2e, all_e2e_hits, unmapped, hapdiv, mapflt, mapflt2, uniqmer, call, getsnp, mem_stream, e2e_text, vcf_text,
 ]
 
@@ -364,7 +380,7 @@ def oracle_sql() -> dict[str, str]:
         "stat": TURNS + f", {RUNS} SELECT count(*) FILTER (sym = '$') AS sequences, count(*) AS symbols, (SELECT count(*) FROM r) AS runs, " + ", ".join(f"count(*) FILTER (sym = '{s}') AS n_{s.lower()}" for s in "ACGTN") + " FROM sa",
         "acc": TURNS + ", a(sym, i) AS (VALUES ('$', 0), ('A', 1), ('C', 2), ('G', 3), ('T', 4), ('N', 5)) SELECT a.sym, (SELECT count(*) FROM sa JOIN a z ON sa.sym = z.sym WHERE z.i < a.i) AS acc FROM a",
         "lf": TURNS + " SELECT rk, sym, CAST(row_number() OVER (ORDER BY translate(sym, 'N', 'Z'), rk) - 1 AS BIGINT) AS \"to\" FROM sa",
-        "rank": TURNS + ", z AS (SELECT *, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN sym = '{s}' THEN 1 ELSE 0 END) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c_{i}" for i, s in enumerate("$ACGTN")) + " FROM sa) SELECT rk AS k, sym, c_0, c_1, c_2, c_3, c_4, c_5 FROM z WHERE pos = 0",
+        "rank": TURNS + ", z AS (SELECT *, " + ", ".join(f"CAST(coalesce(sum(CASE WHEN sym = '{s}' THEN 1 ELSE 0 END) OVER (ORDER BY rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS c_{i}" for i, s in enumerate("$ACGTN")) + " FROM sa) SELECT rk AS k, sym, c_0, c_1, c_2, c_3, c_4, c_5 FROM z",
         "get": TURNS + " SELECT s.sid AS k, rk AS \"row\", s.seq FROM s JOIN sa ON s.sid = sa.sid WHERE sa.pos = 0",
         "rlo_bwt": reordered("translate(reverse(seq), 'N', 'Z')"),
         "rclo_bwt": reordered("reverse(translate(seq, 'ACGTN', '43215'))"),
@@ -380,6 +396,9 @@ def oracle_sql() -> dict[str, str]:
         "presence": extensions(31) + " SELECT DISTINCT name FROM hit",
         "mem": smems(19, 1) + " " + MATCHES,
         "mem_stream": smems(19, 1) + " " + MATCHES,
+        "mem_indexed": smems(19, 1) + " " + MATCHES,
+        "mem_old": smems(15, 3) + " " + MATCHES,
+        "from_bwt": TURNS + " SELECT rk, sid, pos, sym FROM sa",
         "mem_minocc": smems(15, 3) + " " + MATCHES,
         "mem_cov": smems(19, 1) + ", y AS (SELECT DISTINCT name, unnest(range(st, en)) AS p FROM m) SELECT q.name, CAST(length(seq) AS BIGINT) AS qlen, count(*) AS cov FROM y JOIN q ON y.name = q.name GROUP BY ALL",
         "mem_gap": smems(19, 1) + ", y AS (SELECT DISTINCT name, unnest(range(st, en)) AS p FROM m), z AS (SELECT name, length(seq) AS qlen, unnest(range(0, length(seq))) AS p FROM q), "

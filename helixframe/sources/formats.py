@@ -5,25 +5,36 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.posthoc import FILTERS, INFO
+
 VCF_COLUMNS = ("chrom", "pos", "id", "ref", "alt", "qual", "filter", "info")
-#: INFO and FILTER lines of a VCF header.
-VCF_HEADER = (
-    "##fileformat=VCFv4.2",
-    '##INFO=<ID=AC,Number=A,Type=Integer,Description="Alternate alleles">',
-    '##INFO=<ID=AN,Number=1,Type=Integer,Description="Haplotypes">',
-    '##INFO=<ID=AC_AMBI,Number=A,Type=Integer,Description="Ambiguous alleles">',
-    '##INFO=<ID=AN_AMBI,Number=1,Type=Integer,Description="Haplotypes with ambiguous ones">',
-    '##INFO=<ID=AC_DUP,Number=A,Type=Integer,Description="Alleles of likely duplicates">',
-    '##INFO=<ID=AN_DUP,Number=1,Type=Integer,Description="Haplotypes with likely duplicates">',
-    '##INFO=<ID=RSCORE,Number=1,Type=Integer,Description="Score above the cutoff">',
-    '##INFO=<ID=SUPPORT,Number=1,Type=Integer,Description="Supporting windows">',
-    '##FILTER=<ID=LOWCONF,Description="Low confidence">',
-    '##FILTER=<ID=AMBI,Description="Ambiguous">',
-    '##FILTER=<ID=DUP,Description="Likely a duplication">',
-    '##FILTER=<ID=SUPPORT1,Description="One supporting window">',
-    '##FILTER=<ID=CONFLICT,Description="Another window disagrees">',
-    "#" + "\t".join(c.upper() for c in VCF_COLUMNS),
-)
+#: Heads of the two kinds of lines of end-to-end records.
+E2E_HEADER = ("CC", "CC\tQS\tname\tlength\talleles\tstrand\tlisted\ttotal", "CC\tQH\tcount\tscore\tedits\tcs")
+
+
+def vcf_header(info: dict, filters: dict) -> list[str]:
+    """info: name -> (column, one value for each allele, what it says); filters: name -> what it says."""
+    lines = ["##fileformat=VCFv4.2"]
+    lines += [f'##INFO=<ID={name},Number={"A" if each else 1},Type=Integer,Description="{says}">' for name, (_, each, says) in info.items()]
+    lines += [f'##FILTER=<ID={name},Description="{says}">' for name, says in filters.items()]
+    return [*lines, "#" + "\t".join(c.upper() for c in VCF_COLUMNS)]
+
+
+def write_with_header(rows: DataFrame, header: list[str], path: str) -> None:
+    """Write column value as text; the header stands in every part file, so that each is a file of its own."""
+    head = "\n".join(header)
+
+    def with_header(batches):
+        import pyarrow as pa
+
+        started = False
+        for b in batches:
+            if not started:
+                yield pa.RecordBatch.from_arrays([pa.array([head])], ["value"])
+                started = True
+            yield pa.RecordBatch.from_arrays([b.column(b.num_columns - 1)], ["value"])
+
+    rows.mapInArrow(with_header, "value string").write.text(path)
 
 
 def tabbed(*columns: Column | str) -> Column:
@@ -37,46 +48,38 @@ def bed_lines(df: DataFrame) -> DataFrame:
 
 
 def paf_lines(df: DataFrame) -> DataFrame:
-    """(value): the twelve columns of PAF and the tags AS, rh, cg, cs and rs; unmapped queries have stars."""
+    """(value): the twelve columns of PAF and the tags AS, qh, rh, cg, cs, rs and ap; unmapped queries have stars."""
     first = ("qname", "qlen", "qst", "qen", "strand", "tname", "tlen", "tst", "ten", "mlen", "blen", "mapq")
     tag = lambda name, kind: F.when(F.col(name).isNotNull(), F.concat(F.lit(f"{name}:{kind}:"), F.col(name).cast("string")))
-    return df.select(F.concat_ws("\t", tabbed(*first), tag("AS", "i"), tag("rh", "i"), tag("cg", "Z"), tag("cs", "Z"), tag("rs", "Z")).alias("value"))
+    places = F.when(F.size("ap") > 0, F.concat(F.lit("ap:Z:"), F.array_join("ap", ";"), F.lit(";")))
+    return df.select(F.concat_ws("\t", tabbed(*first), tag("AS", "i"), tag("qh", "i"), tag("rh", "i"), tag("cg", "Z"), tag("cs", "Z"), tag("rs", "Z"), places).alias("value"))
 
 
 def write_e2e(heads: DataFrame, hits: DataFrame, path: str) -> None:
     """One record of lines per query and strand: QS, a QH per allele, and the terminator."""
     per = hits.groupBy("qname", "strand").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("neg"), "cs", "cnt", "score", "ed"))).alias("hits"))
     lines = F.transform(F.coalesce("hits", F.array().cast("array<struct<neg:bigint,cs:string,cnt:bigint,score:bigint,ed:bigint>>")), lambda h: F.concat_ws("\t", F.lit("QH"), h["cnt"].cast("string"), h["score"].cast("string"), h["ed"].cast("string"), h["cs"]))
-    head = F.concat_ws("\t", F.lit("QS"), *(F.col(c).cast("string") for c in ("qname", "qlen", "n_allele", "strand", "n_out", "total")))
+    head = F.concat_ws("\t", F.lit("QS"), *(F.coalesce(F.col(c).cast("string"), F.lit("*")) for c in ("qname", "qlen", "n_allele", "strand", "n_out", "total")))
     text = F.array_join(F.concat(F.array(head), lines, F.array(F.lit("//"))), "\n")
-    heads.join(per, ["qname", "strand"], "left").select(text.alias("value")).write.text(path)
+    per = per.select(F.col("qname").alias("of"), F.col("strand").alias("s"), "hits")
+    rows = heads.join(per, F.col("qname").eqNullSafe(F.col("of")) & (F.col("strand") == F.col("s")), "left").select(text.alias("value"))
+    write_with_header(rows, list(E2E_HEADER), path)
 
 
 def read_e2e(spark: SparkSession, path: str) -> DataFrame:
     """(qname, strand, cnt, score, ed, cs) of the alleles of records as write_e2e writes them; a record is one row of the source."""
-    rows = spark.read.option("lineSep", "\n//\n").text(path).where(F.col("value").startswith("QS"))
-    lines = F.split("value", "\n")
+    rows = spark.read.option("lineSep", "\n//\n").text(path).where(F.col("value").contains("QS\t"))
+    # The first record of a file stands under the file's head.
+    lines = F.filter(F.split("value", "\n"), lambda x: ~x.startswith("CC"))
     rows = rows.select(F.split(lines[0], "\t").alias("q"), F.explode(F.filter(lines, lambda x: x.startswith("QH"))).alias("h"))
     h = F.split("h", "\t")
     return rows.select(F.col("q")[1].alias("qname"), F.col("q")[4].alias("strand"), h[1].cast("long").alias("cnt"), h[2].cast("long").alias("score"), h[3].cast("long").alias("ed"), h[4].alias("cs"))
 
 
 def write_vcf(df: DataFrame, path: str) -> None:
-    """Lines in ranges of (chrom, pos); the header stands in every part file, so that each is a VCF of its own."""
+    """Lines in ranges of (chrom, pos), under the header of calls."""
     rows = df.select("chrom", "pos", tabbed(*VCF_COLUMNS).alias("value")).repartitionByRange("chrom", "pos").sortWithinPartitions("chrom", "pos")
-    header = "\n".join(VCF_HEADER)
-
-    def with_header(batches):
-        import pyarrow as pa
-
-        started = False
-        for b in batches:
-            if not started:
-                yield pa.RecordBatch.from_arrays([pa.array([header])], ["value"])
-                started = True
-            yield pa.RecordBatch.from_arrays([b.column(b.num_columns - 1)], ["value"])
-
-    rows.mapInArrow(with_header, "value string").write.text(path)
+    write_with_header(rows, vcf_header(INFO, FILTERS), path)
 
 
 def read_vcf(spark: SparkSession, path: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from ..functions.alphabet import derived, normalize, reverse_complement
+from ..plans.lineage import fresh, materialize
 
 
 def from_table(df: DataFrame, id_col: str, text_col: str = "text", unknown: bool = True) -> DataFrame:
@@ -73,16 +74,21 @@ def both_strands(sequences: DataFrame, forward: bool = True, reverse: bool = Tru
 
 
 def numbered(df: DataFrame, bucket, order: list, name: str) -> DataFrame:
-    """df with a dense number from 0 in the order given; bucket, a column that never falls along the order, splits the work."""
-    rows = df.withColumn("__b", bucket)
-    sizes = rows.groupBy("__b").agg(F.count("*").alias("__n"))
-    sizes = sizes.select("__b", (F.sum("__n").over(Window.orderBy("__b")) - F.col("__n")).alias("__base"))
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(*order)) - 1
-    return rows.withColumn("__p", place).join(F.broadcast(sizes), "__b").withColumn(name, F.col("__base") + F.col("__p")).drop("__b", "__p", "__base")
+    """df with a dense number from 0 in the order given; bucket, a column that never falls along the order, splits the work. A missing bucket is one, the first."""
+    b, p, n, base, of = (fresh(df.columns, c) for c in ("bucket", "place", "size", "base", "of"))
+    rows = df.withColumn(b, bucket)
+    sizes = rows.groupBy(F.col(b).alias(of)).agg(F.count("*").alias(n))
+    # Summed in two levels, so that no task sees a row for every bucket of a large table.
+    outer = sizes.groupBy(F.floor(F.col(of) / 4096).alias(p)).agg(F.sum(n).alias(base))
+    outer = materialize(outer.select(F.col(p).alias(b), (F.sum(base).over(Window.orderBy(p)) - F.col(base)).alias(base)))
+    inner = sizes.withColumn(p, F.floor(F.col(of) / 4096)).withColumn(n, F.sum(n).over(Window.partitionBy(p).orderBy(of)) - F.col(n))
+    starts = materialize(inner.join(outer, F.col(p).eqNullSafe(F.col(b))).select(of, (F.col(n) + F.col(base)).alias(base)))
+    place = F.row_number().over(Window.partitionBy(b).orderBy(*order)) - 1
+    return rows.withColumn(p, place).join(starts, F.col(b).eqNullSafe(F.col(of))).withColumn(name, F.col(base) + F.col(p)).drop(b, p, base, of)
 
 
 def turns(df: DataFrame) -> DataFrame:
     """(src_id, name, seq) of a conversations table, its turns numbered densely by (conv_id, turn)."""
     rows = numbered(df, F.floor(F.col("conv_id") / 256), ["conv_id", "turn"], "src_id")
-    name = F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    name = F.concat(F.coalesce(F.col("conv_id").cast("string"), F.lit("*")), F.lit("/"), F.coalesce(F.col("turn").cast("string"), F.lit("*")))
     return rows.select(F.col("src_id").cast("long").alias("src_id"), name.alias("name"), derived(F.col("text")).alias("seq"))
