@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table
+from .common import fresh, materialize, table
 
 MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
@@ -115,7 +115,8 @@ def clean(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lengt
     """The rows of docs that are kept, with the lines that passed as their text and length_col (if there is one) set anew."""
     verdict, text = fresh(docs.columns, "verdict"), F.col(text_col)
     # The verdict travels inside the row, so that equal or missing ids mix nothing up and nothing is joined.
-    marked = judged(docs.select(text_col, F.struct(*docs.columns).alias(verdict)), text_col, verdict, **limits).where("kept")
+    # Written before rows are dropped: Spark would work out every rule once more for the filter.
+    marked = materialize(judged(docs.select(text_col, F.struct(*docs.columns).alias(verdict)), text_col, verdict, **limits).select("doc_id", "clean_text", "kept")).where("kept")
     out = {c: F.col(f"doc_id.`{c}`") for c in docs.columns}
     out[text_col] = F.col("clean_text").cast(docs.schema[text_col].dataType)
     if length_col in out:
