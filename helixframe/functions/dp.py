@@ -57,6 +57,17 @@ def seed_plan(length: int, sc: Scoring) -> tuple[int, int] | None:
     return next(((q, t) for least in (2, 1) for q, t in sure.items() if t >= least), None)
 
 
+def edits(length: int, q: int, sc: Scoring) -> int:
+    """Stretches of q neighbouring q-mers that hold all that an end-to-end alignment of min_score or more changes; 0 if scores do not bound it so."""
+    one, budget = sc.match + sc.mismatch, length * sc.match - sc.min_score
+    if seed_plan(length, sc) is None or sc.gap_open + sc.gap_extend < one:
+        return 0
+    for gap in range(1, length + 1):  # a gap in the reference must cost as much as the stretches that it takes up
+        if -(-(q - 1 + gap) // q) > (sc.gap_open + gap * (sc.gap_extend + sc.match)) // one:
+            return 0
+    return budget // one
+
+
 NEVER = -15000
 _CODE = np.full(256, 9, np.uint8)
 _CODE[np.frombuffer(b"ACGT", np.uint8)] = range(4)
