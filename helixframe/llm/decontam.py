@@ -60,6 +60,8 @@ def hits(split: DataFrame, wins: DataFrame) -> DataFrame:
         rarity = seen.join(F.broadcast(vocabulary), "word").groupBy("word").agg(F.count("*").alias("n"))
     else:  # counted first: a frequent word travels as one row of each task
         rarity = seen.groupBy("word").agg(F.count("*").alias("n")).join(vocabulary, "word")
+    # Written: with its size known, Spark broadcasts it or splits words that are frequent among the windows.
+    rarity = materialize(rarity)
 
     spread = distinct.select("text", "len", F.posexplode("w").alias("offset", "x")).withColumn("word", F.lower("x"))
     ranked = spread.join(rarity, "word", "left").withColumn("n", F.coalesce("n", F.lit(0)))
@@ -78,7 +80,7 @@ def hits(split: DataFrame, wins: DataFrame) -> DataFrame:
         candidates = at.join(anchors, (F.lower("x") == F.col("word")) & bounds).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "p", "offset", "len", "text").distinct()
         found = candidates.join(split, F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("k")) & same)
     out = materialize(found.select("doc_id", "h", start.alias("start"), (start + F.col("len")).alias("stop"), "text").distinct())
-    discard(anchors)
+    discard(anchors, rarity)
     return out
 
 
