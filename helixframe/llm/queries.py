@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontam, langid, lineclean, packing, quality, secretscan, simhash, substrings, tokens, toxicity
+from . import crosstokens, decontam, langid, lineclean, packing, quality, secretscan, sharding, simhash, substrings, tokens, toxicity, whitening
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         "op8_secrets": secretscan.op8_secrets,
         "op9_packing": packing.op9_packing,
         "op10_substrings": substrings.op10_substrings,
+        "op11_crosstokens": crosstokens.op11_crosstokens,
+        "op12_whitening": whitening.op12_whitening,
+        "op13_sharding": sharding.op13_sharding,
     }
 
 
@@ -24,4 +27,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op4_decontaminate": decontam.ORACLE_SQL,
         "op6_lines": lineclean.ORACLE_SQL,
+        "op13_sharding": sharding.ORACLE_SQL,
     }
