@@ -32,6 +32,15 @@ def windows(sequences: DataFrame, k: int, step: int) -> DataFrame:
     return at.select("name", st.alias("st"), en.cast("int").alias("en"), F.substring(F.col("raw"), st + 1, en - st).cast("string").alias("seq"))
 
 
+def full_windows(sequences: DataFrame, k: int, step: int) -> DataFrame:
+    """(name, st, en, seq) of the windows of exactly k bases that begin every `step` bases."""
+    if k < 1 or step < 1:
+        raise ValueError("k and step must be positive")
+    rows = sequences.where(F.length("seq") >= k).select("name", F.col("seq").cast("binary").alias("raw"))
+    rows = rows.select("name", "raw", F.explode(F.sequence(F.lit(0), F.length("raw") - k, F.lit(step))).alias("st"))
+    return rows.select("name", "st", (F.col("st") + k).alias("en"), F.substring(F.col("raw"), F.col("st") + 1, F.lit(k)).cast("string").alias("seq"))
+
+
 def fa2kmer(sequences: DataFrame, k: int = 151, step: int = 50) -> DataFrame:
     """(header, seq): windows named name:start-end, counted from 1."""
     return windows(sequences, k, step).select(F.concat(F.col("name"), F.lit(":"), (F.col("st") + 1).cast("string"), F.lit("-"), F.col("en").cast("string")).alias("header"), "seq")

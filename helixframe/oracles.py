@@ -33,6 +33,11 @@ def windows(k: int, step: int) -> str:
     )
 
 
+def full_windows(k: int, step: int) -> str:
+    """w (name, st, en, seq): the windows of i that are k long."""
+    return f"w AS MATERIALIZED (SELECT name, st, st + {k} AS en, substr(seq, CAST(st + 1 AS INT), {k}) AS seq FROM (SELECT name, seq, unnest(range(0, length(seq) - {k} + 1, {step})) AS st FROM i WHERE length(seq) >= {k}))"
+
+
 def pairs(sc: Scoring, end_len: int = 0) -> str:
     """place (q, m, g, sid, lo, core, win) and pair (id, q, m, g, core, win) for the sequences of q.
 
@@ -149,7 +154,17 @@ def end_to_end(sc: Scoring) -> str:
         f"{pairs(sc)}, {table('t', 'pair', sc, 0, False)}, good AS (SELECT pair.* FROM pair JOIN t USING (id) WHERE best >= {sc.min_score}), {table('u', 'good', sc, 0, True)}, "
         f"found AS (SELECT id, o.score AS score, n - o.j AS ix, {DESCRIBED.replace('path', 'o.path')} FROM (SELECT id, n, unnest(outs) AS o FROM u)), "
         "one AS MATERIALIZED (SELECT DISTINCT q, substr(win, CAST(ix + 1 AS INT), CAST(rlen AS INT)) AS rs, score, cigar, cs, mlen, blen, ed FROM found JOIN pair USING (id)), "
-        f"{counts()}, al AS MATERIALIZED (SELECT one.*, cnt FROM one JOIN cnt USING (rs) WHERE NOT EXISTS (SELECT 1 FROM one x WHERE x.q = one.q AND x.score > one.score AND length(x.rs) < length(one.rs) AND (starts_with(one.rs, x.rs) OR ends_with(one.rs, x.rs))))"
+        f"{counts()}, {kept('one JOIN cnt USING (rs)')}"
+    )
+
+
+def kept(hits: str) -> str:
+    """al: hits one after the other, each left out if one kept before it has its places: a prefix or suffix of it, or one that begins or ends with it and is as frequent."""
+    inside = lambda a, b: f"(starts_with({a}.rs, {b}.rs) OR ends_with({a}.rs, {b}.rs))"
+    covers = f"len(list_filter(a, lambda y: {inside('x[1]', 'y')} OR (y.cnt = x[1].cnt AND {inside('y', 'x[1]')}))) > 0"
+    return (
+        f"ranked AS (SELECT q, list([{{'rs': rs, 'cnt': cnt, 'score': score, 'cigar': cigar, 'cs': cs, 'mlen': mlen, 'blen': blen, 'ed': ed}}] ORDER BY score DESC, rs) AS hits FROM {hits} GROUP BY q), "
+        f"al AS MATERIALIZED (SELECT q, h.* FROM (SELECT q, unnest(list_reduce(hits, lambda a, x: CASE WHEN {covers} THEN a ELSE list_concat(a, x) END)) AS h FROM ranked))"
     )
 
 
@@ -196,7 +211,7 @@ def both_strands_of(k: int, step: int, sc: Scoring) -> str:
 
 def all_e2e(k: int, step: int, sc: Scoring) -> str:
     return both_strands_of(k, step, sc) + (
-        " SELECT n.qname, n.strand, CAST(length(n.q) AS BIGINT) AS qlen, count(rs) AS n_allele, count(rs) AS n_out, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total FROM n LEFT JOIN r ON n.qname = r.qname AND n.strand = r.strand GROUP BY ALL"
+        " SELECT n.qname, n.strand, CAST(length(n.q) AS BIGINT) AS qlen, count(rs) AS n_allele, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS n_out, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total FROM n LEFT JOIN r ON n.qname = r.qname AND n.strand = r.strand GROUP BY ALL"
     )
 
 
@@ -204,15 +219,15 @@ def all_e2e_hits(k: int, step: int, sc: Scoring, max_total: int | None = None) -
     return both_strands_of(k, step, sc) + " SELECT qname, strand, cnt, score, ed, cs FROM r" + (f" WHERE coalesce(before, 0) < {max_total}" if max_total else "")
 
 
-def of_windows(k: int, step: int, sc: Scoring, where: str = "true") -> str:
+def of_windows(k: int, step: int, sc: Scoring, where: str = "true", cut=windows) -> str:
     """w, and wh (name, st, en, cnt, score, ed, cs): the alleles of the windows."""
-    return f"WITH RECURSIVE {strands(where)}, {ITEMS}, {windows(k, step)}, q AS (SELECT DISTINCT seq FROM w), {end_to_end(sc)}, wh AS MATERIALIZED (SELECT w.name, st, en, cnt, score, ed, cs FROM w JOIN al ON w.seq = al.q)"
+    return f"WITH RECURSIVE {strands(where)}, {ITEMS}, {cut(k, step)}, q AS (SELECT DISTINCT seq FROM w), {end_to_end(sc)}, wh AS MATERIALIZED (SELECT w.name, st, en, cnt, score, ed, cs FROM w JOIN al ON w.seq = al.q)"
 
 
 def hapdiv(k: int, step: int, sc: Scoring) -> str:
     bins = ", ".join(f"CAST(coalesce(sum(CASE WHEN least(ed, 6) = {x} THEN cnt END), 0) AS BIGINT) AS h{x}" for x in range(7))
     names = "n_al, max_ed, h0, h1, h2, h3, h4, h5, h6"
-    return of_windows(k, step, sc) + (
+    return of_windows(k, step, sc, cut=full_windows) + (
         f", p AS (SELECT w.name, w.st, w.en, count(wh.cs) AS n_al, coalesce(max(ed), 0) AS max_ed, {bins} FROM w LEFT JOIN wh ON w.name = wh.name AND w.st = wh.st AND w.en = wh.en GROUP BY ALL), "
         f"g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY st) - row_number() OVER (PARTITION BY name, {names} ORDER BY st) AS part FROM p) "
         f"SELECT name, CAST(min(st) AS BIGINT) AS st, CAST(max(en) AS BIGINT) AS en, {names} FROM g GROUP BY name, part, {names}"

@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from . import oracles
 from .functions.alphabet import encode, reverse_complement
 from .functions.dp import Scoring
-from .operators import align, exact, kmers, posthoc
+from .operators import align, exact, kmers, posthoc, search
 from .operators.index import BLOCK, Index
+from .operators.search import SearchIndex
+from .plans.common_prefix import common_prefixes
 from .plans.lineage import materialize, shared_dir
 from .sources import formats
-from .sources.sequences import both_strands, from_table, turns
+from .sources.sequences import both_strands, from_table, read_bwt, read_fastx, read_lines, read_names, turns, write_bwt, write_fastx
 from .sources.tables import table
 from .streaming.search import stream_mem
 
@@ -38,6 +40,20 @@ def conversation_index(spark, sf_dir, order: str = "io") -> Index:
     return Index.build(turns(table(spark, sf_dir, "conversations")), order)
 
 
+_saved: dict[tuple[str, str, str], str] = {}
+
+
+def saved_order(spark, sf_dir, of: str = "documents") -> SearchIndex:
+    """The suffix order of documents or conversations with what searches need, saved once for a session and then loaded by every query."""
+    key = (spark.sparkContext.applicationId, sf_dir, of)
+    if key not in _saved:
+        path = shared_dir(spark)
+        sources = documents(spark, sf_dir) if of == "documents" else turns(table(spark, sf_dir, "conversations"))
+        SearchIndex.save(Index.build(sources), path)
+        _saved[key] = path
+    return SearchIndex.load(spark, _saved[key])
+
+
 def longs(df: DataFrame, *names: str) -> DataFrame:
     return df.withColumns({n: F.col(n).cast("long") for n in names})
 
@@ -141,11 +157,74 @@ def from_bwt(spark, sf_dir):
     return Index.from_bwt(conversation_index(spark, sf_dir).bwt()).sa
 
 
+def common_prefix(spark, sf_dir):
+    """The symbols that each suffix shares with the one before it."""
+    index = conversation_index(spark, sf_dir)
+    return longs(common_prefixes(index.sequences, materialize(index.sa)), "lcp").select("rk", "lcp")
+
+
 def mem_indexed(spark, sf_dir):
-    """mem on a saved index, whose k-mers are read instead of cut anew."""
+    """mem in the saved order of documents."""
+    return longs(saved_order(spark, sf_dir).mem(asked(spark, sf_dir), 19), "st", "en")
+
+
+def mem_minocc_indexed(spark, sf_dir):
+    return longs(saved_order(spark, sf_dir).mem(asked(spark, sf_dir), 15, 3), "st", "en")
+
+
+def count_indexed(spark, sf_dir):
+    return saved_order(spark, sf_dir).count(asked(spark, sf_dir))
+
+
+def suffix_indexed(spark, sf_dir):
+    return saved_order(spark, sf_dir).suffix(asked(spark, sf_dir))
+
+
+def presence_indexed(spark, sf_dir):
+    return saved_order(spark, sf_dir).present(asked(spark, sf_dir), 31).select("name")
+
+
+def kount_indexed(spark, sf_dir):
+    """k-mers of two lengths from one saved order."""
+    index = saved_order(spark, sf_dir)
+    each = [search.kount([index], k, 20).withColumn("k", F.lit(k).cast("long")) for k in (11, 37)]
+    return each[0].unionByName(each[1])
+
+
+def kount_multi_indexed(spark, sf_dir):
+    return search.kount([saved_order(spark, sf_dir), saved_order(spark, sf_dir, "conversations")], 13, 10)
+
+
+def bwt_text(spark, sf_dir):
+    """A BWT written as plain text and read back."""
+    path = shared_dir(spark)
+    write_bwt(conversation_index(spark, sf_dir).bwt(), path)
+    return read_bwt(spark, [f"{path}/0-sentinels", f"{path}/1-rest"])
+
+
+def fastx_text(spark, sf_dir):
+    """The sequences of documents written as FASTA and as FASTQ, and read back."""
+    out = None
+    for quality in (None, "I"):
+        path = shared_dir(spark)
+        write_fastx(documents(spark, sf_dir), path, quality)
+        rows = read_fastx(spark, path).select("name", "seq", (F.length("qual") if quality else F.lit(None)).cast("long").alias("quals"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def lines_text(spark, sf_dir):
+    """fa2line written as lines and read back as sequences."""
+    path = shared_dir(spark)
+    kmers.fa2line(documents(spark, sf_dir)).select("line").write.text(path)
+    return read_lines(spark, path).groupBy("seq").agg(F.count("*").alias("n"))
+
+
+def names_text(spark, sf_dir):
+    """Names and lengths written as a list and read back; lengths of 0 are left out."""
     path = shared_dir(spark)
-    Index(subject(spark, sf_dir), None).kmers(19).repartitionByRange("kmer", "sid").sortWithinPartitions("kmer").write.parquet(f"{path}/kmers")
-    return longs(exact.mem(asked(spark, sf_dir), subject(spark, sf_dir), 19, 1, spark.read.parquet(f"{path}/kmers")), "st", "en")
+    documents(spark, sf_dir).select("name", F.length("seq").alias("len")).write.option("sep", "\t").csv(path)
+    return longs(read_names(spark, path), "len")
 
 
 def mem_old(spark, sf_dir):
@@ -275,7 +354,7 @@ def mem_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "benchmark").schema
     rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir.rstrip('/')}/benchmark.parque[t]")  # a glob, as a stream reads no single file
     queries = from_table(rows, "item_id").select("name", "seq")
-    return longs(stream_mem(queries, subject(spark, sf_dir), 19), "st", "en")
+    return longs(stream_mem(queries, saved_order(spark, sf_dir), 19), "st", "en")
 
 
 def e2e_text(spark, sf_dir):
@@ -295,7 +374,8 @@ def vcf_text(spark, sf_dir):
 
 QUERIES = [
     nt6_encode, revcomp, fa2line, fa2kmer, kount, kount_multi, stat_symbols, sa_order, bwt, plain_bwt, bwt_runs, stat, acc, lf, rank, get, rlo_bwt, rclo_bwt,
-    ssa_sample, merge, from_bwt, locate_rows, count, locate, suffix, presence, mem, mem_minocc, mem_indexed, mem_old, mem_gap, mem_cov, mem_pos,
+    ssa_sample, merge, from_bwt, locate_rows, count, locate, suffix, presence, mem, mem_minocc, mem_old, common_prefix, mem_indexed, mem_minocc_indexed, count_indexed,
+    suffix_indexed, presence_indexed, kount_indexed, kount_multi_indexed, bwt_text, fastx_text, lines_text, names_text, mem_gap, mem_cov, mem_pos,
     sw_local, sw_e2e, all_e2e, all_e2e_hits, unmapped, hapdiv, mapflt, mapflt2, uniqmer, call, getsnp, mem_stream, e2e_text, vcf_text,
 ]
 
@@ -360,9 +440,36 @@ def kmer_rows(source: str, k: int) -> str:
     return f"SELECT substr(seq, CAST(p AS INT), {k}) AS kmer FROM (SELECT seq, unnest(range(1, length(seq) - {k - 2})) AS p FROM {source} WHERE length(seq) >= {k})"
 
 
+def kount_sql(k: int, least: int) -> str:
+    return f"SELECT kmer, count(*) AS cnt_1, CAST({k} AS BIGINT) AS k FROM ({kmer_rows('b', k)}) WHERE NOT contains(kmer, 'N') GROUP BY kmer HAVING count(*) >= {least}"
+
+
+#: Beside each suffix the one before it; how many letters are alike, by halving steps.
+PREFIXES = (
+    ", n AS (SELECT sa.rk, substr(s.seq, CAST(sa.pos + 1 AS INT)) AS a FROM sa JOIN s USING (sid)), o AS (SELECT n.rk, n.a, coalesce(m.a, '') AS b FROM n LEFT JOIN n m ON m.rk = n.rk - 1) "
+    "SELECT rk, CAST(list_reduce([0, 16384, 8192, 4096, 2048, 1024, 512, 256, 128, 64, 32, 16, 8, 4, 2, 1], lambda x, p: CASE WHEN x + p <= least(length(a), length(b)) AND left(a, CAST(x + p AS INT)) = left(b, CAST(x + p AS INT)) THEN x + p ELSE x END) AS BIGINT) AS lcp FROM o"
+)
+
+
 def oracle_sql() -> dict[str, str]:
+    return plain_sql() | same_rows()
+
+
+def same_rows() -> dict[str, str]:
+    """Queries that another plan, or a way over files, brings to the rows of a query above."""
+    sql = plain_sql()
+    twin = {"mem_indexed": "mem", "mem_stream": "mem", "mem_minocc_indexed": "mem_minocc", "count_indexed": "count", "suffix_indexed": "suffix", "presence_indexed": "presence", "kount_multi_indexed": "kount_multi", "bwt_text": "bwt"}
+    return {name: sql[of] for name, of in twin.items()}
+
+
+def plain_sql() -> dict[str, str]:
     turn_strands = f"c AS {turn_sql()}, cb AS {strands_sql('c')}"
     return {
+        "common_prefix": TURNS + PREFIXES,
+        "kount_indexed": f"WITH {DOCS} {kount_sql(11, 20)} UNION ALL {kount_sql(37, 20)}",
+        "fastx_text": f"WITH {DOCS} SELECT name, seq, CAST(NULL AS BIGINT) AS quals FROM d UNION ALL SELECT name, seq, length(seq) FROM d",
+        "lines_text": f"WITH {DOCS} SELECT seq, count(*) AS n FROM b GROUP BY seq",
+        "names_text": f"WITH {DOCS} SELECT name, length(seq) AS len FROM d WHERE length(seq) > 0",
         "nt6_encode": f"WITH {DOCS} SELECT src_id, translate(seq, 'ACGTN', '12345') AS code FROM d",
         "revcomp": f"WITH {DOCS} SELECT src_id, reverse(translate(seq, 'ACGT', 'TGCA')) AS rc FROM d",
         "fa2line": f"WITH {DOCS} SELECT sid // 2 AS src_id, CAST(strand AS BIGINT) AS strand, translate(seq, 'N', 'X') AS line FROM b",
@@ -395,8 +502,6 @@ def oracle_sql() -> dict[str, str]:
         "SELECT q.name, CAST(length(seq) - coalesce(n, 0) AS BIGINT) AS st, CAST(length(seq) AS BIGINT) AS qlen, CAST(coalesce(cnt, 0) AS BIGINT) AS cnt FROM q LEFT JOIN k ON q.name = k.name",
         "presence": extensions(31) + " SELECT DISTINCT name FROM hit",
         "mem": smems(19, 1) + " " + MATCHES,
-        "mem_stream": smems(19, 1) + " " + MATCHES,
-        "mem_indexed": smems(19, 1) + " " + MATCHES,
         "mem_old": smems(15, 3) + " " + MATCHES,
         "from_bwt": TURNS + " SELECT rk, sid, pos, sym FROM sa",
         "mem_minocc": smems(15, 3) + " " + MATCHES,
