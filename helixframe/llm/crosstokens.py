@@ -36,7 +36,7 @@ from .tokens import byte_letters, tokenizer_path
 WORDS = re.compile(r"[ \n\t]*[^ \n\t]+|[ \n\t]+$")
 UNUSUAL = re.compile(r"[^\S \n\t]|▁")
 #: References to chunks of one book, and chunks that a worker remembers from book to book: bounds of a task's memory.
-BOOK_REFS, REMEMBERED = 2_000_000, 500_000
+BOOK_REFS, REMEMBERED = 1_000_000, 250_000
 #: Entries that one block of rows of a product may expand to.
 EXPANDED = 1 << 20
 
@@ -374,6 +374,7 @@ def alignment_counts(docs: DataFrame, path_a: str | None = None, path_b: str | N
     shown = ["id", *COUNTS, "groups_sha256"]
 
     def score(texts: pa.Table, counted: pa.Table) -> pa.Table:
+        _vocabularies.clear()  # a worker of the first pass needs it no more
         book = texts.filter(pa.compute.is_valid(texts["pairs"]))
         rows = texts.filter(pa.compute.is_valid(texts["refs"]))
         pair, cnt, best = (counted[c].to_numpy() for c in ("pair", "cnt", "best"))
