@@ -304,34 +304,66 @@ _vocabularies: dict[tuple[str, str], Vocabulary] = {}
 COUNTS = ["n_a", "n_b", "n_groups", "n_links", "n_shared"]
 
 
+def packed(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, bytes of each number): seven bits to a byte, the lowest first, the upper bit set in all but a number's last byte."""
+    size = 1 + sum((numbers >= 1 << 7 * k).astype(np.int64) for k in range(1, 5))
+    at = starts(size)[:-1]
+    out = np.zeros(int(size.sum()), np.uint8)
+    for k in range(5):
+        some = size > k
+        out[at[some] + k] = (numbers[some] >> 7 * k & 127) | np.where(size[some] > k + 1, 128, 0)
+    return out, size
+
+
+def unpacked(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(numbers, where each ends in raw) of packed()."""
+    ends = np.flatnonzero(raw < 128) + 1
+    at, size = np.concatenate([[0], ends[:-1]]).astype(np.int64), np.diff(np.concatenate([[0], ends]))
+    out = np.zeros(len(ends), np.int64)
+    for k in range(int(size.max(initial=0))):
+        some = size > k
+        out[some] |= (raw[at[some] + k].astype(np.int64) & 127) << 7 * k
+    return out, ends
+
+
 def books(docs: DataFrame, path_a: str, path_b: str, text_col: str, id_col: str) -> DataFrame:
-    """Rows of texts (book, id, COUNTS, groups_sha256, refs), and one row for each book (its chunks' numbers, their pairs and ends; its distinct pairs and how often they are linked)."""
+    """Rows of texts (book, id, COUNTS, groups_sha256, refs), and one row for each book: its chunks' pairs and where each chunk's end, its distinct pairs and how often they are linked.
+
+    Chunks are numbered by falling use in their book, so that most references in refs, which are packed, take a byte or two.
+    """
     kind = docs.schema[id_col].dataType.simpleString()
     longs, ints = pa.list_(pa.int64()), pa.list_(pa.int32())
-    names = ["book", "id", *COUNTS, "groups_sha256", "refs", "chunks", "chunk_pairs", "chunk_ends", "pairs", "sums"]
-
-    def listed(parts: list[np.ndarray], kind) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(starts([len(x) for x in parts]), pa.int32()), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), kind.value_type))
+    names = ["book", "id", *COUNTS, "groups_sha256", "refs", "chunk_pairs", "chunk_ends", "pairs", "sums"]
 
     def run(batches):
         from pyspark import TaskContext
 
         words = _vocabularies.setdefault((path_a, path_b), Vocabulary(tokenizers_of(path_a, path_b)))
-        number, used, size, id_type = TaskContext.get().partitionId() << 24, [], 0, None
-
-        def closed() -> pa.RecordBatch:
-            """The row of a book: which chunks it has, their pairs, and how often each distinct pair is linked."""
-            chunks, uses = np.unique(np.concatenate([*used, np.zeros(0, np.int32)]), return_counts=True)
-            flat, ends = words.pairs_of(chunks)
-            pairs, inverse = np.unique(flat, return_inverse=True)
+        number, refs, ids, counts, digests = TaskContext.get().partitionId() << 24, [], [], [], []
+
+        def closed() -> list[pa.RecordBatch]:
+            """A book's texts and its own row."""
+            flat = np.concatenate([*refs, np.zeros(0, np.int32)])
+            chunks, place, uses = np.unique(flat, return_inverse=True, return_counts=True)
+            order = np.argsort(-uses, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            raw, size = packed(rank[place])
+            at = starts(size)[starts([len(x) for x in refs])]
+            of_text = pa.Array.from_buffers(pa.binary(), len(refs), [None, pa.py_buffer(at.astype(np.int32)), pa.py_buffer(raw)])
+            chunks, uses = chunks[order], uses[order]
+            links, ends = words.pairs_of(chunks)
+            pairs, inverse = np.unique(links, return_inverse=True)
             sums = np.bincount(inverse, weights=np.repeat(uses, np.diff(np.concatenate([[0], ends]))), minlength=len(pairs)).astype(np.int64)
             np.add.at(words.uses, chunks, uses)
             words.forget()
-            null = [pa.nulls(1, t) for t in (id_type, *[pa.int64()] * 5, pa.string(), ints)]
-            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *null, *(listed([x], t) for x, t in ((chunks, ints), (flat, longs), (ends, ints), (pairs, longs), (sums, longs)))], names)
+            n, all_counts, of_ids = len(refs), np.concatenate(counts), pa.concat_arrays(ids)
+            texts = [pa.array(np.full(n, number), pa.int64()), of_ids, *(pa.array(all_counts[:, i]) for i in range(5)), pa.array(digests, pa.string()), of_text, *(pa.nulls(n, t) for t in (longs, ints, longs, longs))]
+            one = lambda x, t: pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), pa.array(x, t.value_type))
+            book = [pa.array([number], pa.int64()), *(pa.nulls(1, t) for t in (of_ids.type, *[pa.int64()] * 5, pa.string(), pa.binary())), one(links, longs), one(ends, ints), one(pairs, longs), one(sums, longs)]
+            return [pa.RecordBatch.from_arrays(x, names) for x in (texts, book)]
 
         for batch in batches:
-            id_type = batch.column(0).type
             texts, at = batch.column(1).to_pylist(), 0
             while at < len(texts):
                 # A few texts at a time, so that a book does not outgrow its bounds by a whole batch.
@@ -339,22 +371,21 @@ def books(docs: DataFrame, path_a: str, path_b: str, text_col: str, id_col: str)
                 while to < len(texts) and (to == at or letters < 1 << 20):
                     letters += len(texts[to] or "")
                     to += 1
-                refs, counts, digests = words.read(texts[at:to])
-                used += refs
-                size += sum(map(len, refs))
-                n = to - at
-                none = [pa.nulls(n, t) for t in (ints, longs, ints, longs, longs)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number), pa.int64()), batch.column(0).slice(at, n), *(pa.array(counts[:, i]) for i in range(5)), pa.array(digests, pa.string()), listed(refs, ints), *none], names)
+                read = words.read(texts[at:to])
+                refs += read[0]
+                counts.append(read[1])
+                digests += read[2]
+                ids.append(batch.column(0).slice(at, to - at))
                 at = to
-                if size > BOOK_REFS:
-                    yield closed()
-                    number, used, size = number + 1, [], 0
-        if used:
-            yield closed()
+                if sum(map(len, refs)) > BOOK_REFS:
+                    yield from closed()
+                    number, refs, ids, counts, digests = number + 1, [], [], [], []
+        if refs:
+            yield from closed()
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    counts = ", ".join(f"{c} bigint" for c in COUNTS)
-    return rows.mapInArrow(run, f"book bigint, id {kind}, {counts}, groups_sha256 string, refs array<int>, chunks array<int>, chunk_pairs array<bigint>, chunk_ends array<int>, pairs array<bigint>, sums array<bigint>")
+    kinds = ", ".join(f"{c} bigint" for c in COUNTS)
+    return rows.mapInArrow(run, f"book bigint, id {kind}, {kinds}, groups_sha256 string, refs binary, chunk_pairs array<bigint>, chunk_ends array<int>, pairs array<bigint>, sums array<bigint>")
 
 
 def pair_counts(written: DataFrame) -> DataFrame:
@@ -380,10 +411,12 @@ def alignment_counts(docs: DataFrame, path_a: str | None = None, path_b: str | N
         pair, cnt, best = (counted[c].to_numpy() for c in ("pair", "cnt", "best"))
         order = np.argsort(pair)
         flat = lambda c: np.concatenate([x.values.to_numpy(zero_copy_only=False)[x.offsets[0].as_py() : x.offsets[-1].as_py()] for x in c.chunks] or [np.zeros(0, np.int64)])
-        chunks, links, ends = flat(book["chunks"]), flat(book["chunk_pairs"]), flat(book["chunk_ends"])
+        links, ends = flat(book["chunk_pairs"]), flat(book["chunk_ends"])
         at = order[np.searchsorted(pair, links, sorter=order)] if len(links) else links
-        refs = np.searchsorted(chunks, flat(rows["refs"]))
-        size = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(rows["refs"]).to_numpy())]).astype(np.int64)
+        raw = np.frombuffer(b"".join(rows["refs"].to_pylist()), np.uint8)
+        refs, ref_ends = unpacked(raw)
+        size = np.concatenate([[0], np.cumsum(pa.compute.binary_length(rows["refs"]).to_numpy())]).astype(np.int64)
+        size = np.searchsorted(np.concatenate([[0], ref_ends]), size)  # from bytes to references
         out = {c: rows[c] for c in shown}
         for name, per_link in (("n_best", best[at].astype(np.int64)), ("count_sum", cnt[at])):
             of_chunk = np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(per_link)])[ends]]))

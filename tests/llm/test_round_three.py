@@ -45,6 +45,16 @@ def test_products_against_dense_matrices(monkeypatch):
             assert (back == dense[0].T).all()
 
 
+def test_packed_numbers():
+    rng = np.random.default_rng(1)
+    for top in (1, 200, 1 << 15, 1 << 22, 1 << 30):
+        numbers = rng.integers(0, top, 500)
+        raw, size = crosstokens.packed(numbers)
+        back, ends = crosstokens.unpacked(raw)
+        assert (back == numbers).all() and (ends == np.cumsum(size)).all()
+    assert len(crosstokens.unpacked(crosstokens.packed(np.zeros(0, np.int64))[0])[0]) == 0
+
+
 def plain_alignment(rows):
     """Whole texts through both tokenizers, links by walking over the bytes."""
     from sentencepiece import SentencePieceProcessor
