@@ -22,9 +22,9 @@ from pyspark.sql import Window
 
 from ..functions.alphabet import collated, uncollated
 from ..plans.common_prefix import bits_for, common_prefixes, same_letters
-from ..plans.lineage import materialize
+from ..plans.lineage import discard, materialize
 from .exact import by_sequence, reaching
-from .index import BLOCK, Index
+from .index import BLOCK, Index, sums_before
 from .kmers import positions
 
 #: Symbols kept beside a row of the order, and lengths whose stretches are kept with an index.
@@ -58,10 +58,7 @@ class SearchIndex:
         key = F.when(F.col("lcp") < KEY, F.substring(F.col("raw"), F.col("pos").cast("int") + 1, F.lit(KEY)).cast("string"))
         sa = sa.join(raw, "sid").select("rk", "sid", "pos", "sym", "lcp", key.alias("key"))
         index.sequences.write.parquet(f"{path}/sequences")
-        sa.repartitionByRange("rk").sortWithinPartitions("rk").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/sa")
-        out = cls(index.sequences, index.sa.sparkSession.read.parquet(f"{path}/sa"))
-        for k in kept:
-            out.intervals(k).repartitionByRange("kmer").sortWithinPartitions("kmer").write.parquet(f"{path}/stretches/k={k}")
+        cls.write_order(sa, path, kept)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str, kept: tuple[int, ...] = KEPT) -> "SearchIndex":
@@ -112,7 +109,7 @@ class SearchIndex:
         return self.sa.where(inside[0] if inside else F.lit(False)).select("rk", *columns).withColumn("block", (F.col("rk") / BLOCK).cast("long"))
 
     def extensions(self, seqs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-        """(qid, x, ext, n), written: for each place x of asked (qid, x, kmer), the n occurrences of its k-mer that go along with the query seqs (qid, seq) for ext symbols."""
+        """(qid, x, ext, n, lo), written: for each place x of asked (qid, x, kmer), the n occurrences of its k-mer that go along with the query seqs (qid, seq) for ext symbols, and the first of their rows."""
         bits = bits_for(seqs.agg(F.max(F.length("seq"))).first()[0])
         sized = seqs.select("qid", F.length("seq").alias("qlen"))
         hit = materialize(asked.join(self.intervals(k), "kmer").join(sized, "qid").select("qid", "x", "qlen", "lo", "hi"))
@@ -120,13 +117,15 @@ class SearchIndex:
         rows = self.rows_near(cut, ["sid", "pos", "lcp"]).join(cut, "block")
         rows = rows.where("rk >= lo AND rk < hi AND (rk = lo OR lcp < qlen - x)")
         n = F.coalesce(F.lead("rk").over(Window.partitionBy("qid", "x").orderBy("rk")), "hi") - F.col("rk")
-        rows = materialize(rows.select("qid", "x", "sid", F.col("pos").cast("int").alias("pos"), n.alias("n")))
+        rows = materialize(rows.select("qid", "x", "rk", "sid", F.col("pos").cast("int").alias("pos"), n.alias("n")))
         mine = seqs.select("qid", F.col("seq").cast("binary").alias("mine"))
         raw = self.sequences.select("sid", F.col("seq").cast("binary").alias("raw"))
         pairs = rows.join(mine, "qid").join(raw, "sid")
         most = F.least(F.length("mine") - F.col("x"), F.length("raw") - F.col("pos"))
         ext = same_letters(F.col("mine"), F.col("x"), F.col("raw"), F.col("pos"), most, bits)
-        return materialize(pairs.select("qid", "x", ext.alias("ext"), "n").groupBy("qid", "x", "ext").agg(F.sum("n").alias("n")))
+        out = materialize(pairs.select("qid", "x", "rk", ext.alias("ext"), "n").groupBy("qid", "x", "ext").agg(F.sum("n").alias("n"), F.min("rk").alias("lo")))
+        discard(hit, rows)
+        return out
 
     def begins(self, seqs: DataFrame, k: int) -> DataFrame:
         """(qid, x, kmer) of every k-mer of seqs."""
@@ -163,15 +162,129 @@ class SearchIndex:
         rows, seqs = by_sequence(queries)
         return rows.join(self.string_counts(seqs), "qid", "left").select("name", F.coalesce("cnt", F.lit(0)).alias("cnt"))
 
-    def mem(self, queries: DataFrame, min_len: int = 19, min_occ: int = 1) -> DataFrame:
-        """(name, st, en, cnt): the rows of exact.mem()."""
+    def matches(self, seqs: DataFrame, min_len: int, min_occ: int) -> DataFrame:
+        """(qid, st, en, cnt, lo) of supermaximal matches: rows lo to lo + cnt - 1 of the order begin with the match."""
         if min_len < 2:
             raise ValueError("min_len must be at least 2")
-        rows, seqs = by_sequence(queries)
         k = self.seed(min_len)
         found = self.extensions(seqs, self.begins(seqs, k), k).where(F.col("ext") >= min_len)
-        at = reaching(found.select(F.col("qid").alias("name"), "x", (F.col("x") + F.col("ext")).alias("en"), "n"), min_occ)
-        return rows.select("qid", F.col("name").alias("of")).join(at.withColumnRenamed("name", "qid"), "qid").select(F.col("of").alias("name"), "st", "en", "cnt")
+        return reaching(found.select(F.col("qid").alias("name"), "x", (F.col("x") + F.col("ext")).alias("en"), "n", "lo"), min_occ).withColumnRenamed("name", "qid")
+
+    def mem(self, queries: DataFrame, min_len: int = 19, min_occ: int = 1) -> DataFrame:
+        """(name, st, en, cnt): the rows of exact.mem()."""
+        rows, seqs = by_sequence(queries)
+        return rows.select("qid", "name").join(self.matches(seqs, min_len, min_occ), "qid").select("name", "st", "en", "cnt")
+
+    def mem_positions(self, queries: DataFrame, min_len: int = 19, min_occ: int = 1, max_pos: int = 5) -> DataFrame:
+        """mem with n_pos and up to max_pos positions (ctg, strand, pos), the first in suffix order: of a match with many places only so many rows are read."""
+        rows, seqs = by_sequence(queries)
+        found = materialize(self.matches(seqs, min_len, min_occ))
+        spots = self.locate(found.select(F.struct("qid", "st", "en").alias("id"), "lo", (F.col("lo") + F.col("cnt")).alias("hi")), max_pos)
+        ctg = self.sequences.select("sid", F.col("name").alias("ctg"), "strand", "len")
+        spots = spots.select("id.*", "rk", "sid", "pos").join(ctg, "sid").withColumn("sign", F.when(F.col("strand") == 0, "+").otherwise("-"))
+        pos = F.when(F.col("strand") == 0, F.col("pos")).otherwise(F.col("len") - F.col("pos") - (F.col("en") - F.col("st")))
+        lists = spots.groupBy("qid", "st", "en").agg(F.array_sort(F.collect_list(F.struct("rk", F.struct("ctg", F.col("sign").alias("strand"), pos.cast("long").alias("pos")).alias("p")))).alias("l"))
+        out = rows.select("qid", "name").join(found.join(lists, ["qid", "st", "en"]), "qid")
+        return out.select("name", "st", "en", "cnt", F.size("l").alias("n_pos"), F.transform("l", lambda x: x["p"]).alias("pos"))
+
+    def locate(self, intervals: DataFrame, limit: int | None = None) -> DataFrame:
+        """intervals: (id, lo, hi). (id, rk, sid, pos) of the rows from lo on, `limit` of each at most if given, before hi."""
+        hi = F.col("hi") if limit is None else F.least(F.col("hi"), F.col("lo") + limit)
+        cut = materialize(intervals.where("hi > lo").select("id", "lo", hi.alias("hi")))
+        cut = cut.withColumn("block", F.explode(F.sequence((F.col("lo") / BLOCK).cast("long"), ((F.col("hi") - 1) / BLOCK).cast("long"))))
+        return self.rows_near(cut, ["sid", "pos"]).join(cut, "block").where("rk >= lo AND rk < hi").select("id", "rk", "sid", "pos")
+
+    def ranks(self, fresh: DataFrame) -> DataFrame:
+        """(sid, pos, at), written: for every suffix of sequences fresh (sid, seq), none of them in this order, the rows of this order that come before it; equal ones do.
+
+        A suffix whose first symbols occur is placed inside their stretch, by the rows that differ from their neighbour
+        within its length; any other, behind the stretches and short suffixes that are smaller.
+        """
+        k = self.kept[0]
+        bits = bits_for(fresh.agg(F.max(F.length("seq"))).first()[0])
+        raw = fresh.select("sid", collated(F.col("seq")).cast("binary").alias("mine"))
+        every = raw.select("sid", "mine", F.explode(F.sequence(F.lit(0), F.length("mine"))).alias("pos"))
+        key = F.substring(F.col("mine"), F.col("pos") + 1, F.lit(k)).cast("string")
+        every = every.select("sid", "pos", (F.length("mine") - F.col("pos")).alias("rest"), F.when(F.length("mine") - F.col("pos") < k, F.concat(key, F.lit("$"))).otherwise(key).alias("key"))
+        every = materialize(every)
+        stretches = self.intervals(k).select(F.col("kmer").alias("key"), "lo", "hi")
+        inside = materialize(every.join(stretches, "key"))
+        # Where the first symbols do not occur: behind all keys that are smaller or equal, a bucket of first symbols at a time.
+        short = self.sa.where((F.col("lcp") < k) & (F.length("key") < k)).groupBy(F.concat("key", F.lit("$")).alias("key")).agg((F.max("rk") + 1).alias("hi"))
+        stops = stretches.select("key", "hi").unionByName(short).withColumn("bucket", F.substring("key", 1, 4))
+        ends = stops.groupBy("bucket").agg(F.max("hi").alias("hi"))
+        asked = every.join(inside.select("key").distinct(), "key", "left_anti").select("key").distinct().withColumn("bucket", F.substring("key", 1, 4))
+        asked = materialize(asked)
+        buckets = ends.unionByName(asked.select("bucket", F.lit(0).cast("long").alias("hi"))).groupBy("bucket").agg(F.max("hi").alias("hi"))  # some hundred rows
+        base = materialize(buckets.select("bucket", F.coalesce(F.max("hi").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base")))
+        both = stops.select("bucket", "key", "hi").unionByName(asked.select("bucket", "key", F.lit(None).cast("long").alias("hi")))
+        last = F.max("hi").over(Window.partitionBy("bucket").orderBy("key"))
+        placed = both.withColumn("at", last).where(F.col("hi").isNull()).join(base, "bucket").select("key", F.greatest(F.coalesce("at", F.lit(0)), "base").alias("at"))
+        outside = every.join(placed, "key").select("sid", "pos", "at")
+        # Inside a stretch: how many rows are smaller.
+        cut = inside.withColumn("block", F.explode(F.sequence((F.col("lo") / BLOCK).cast("long"), ((F.col("hi") - 1) / BLOCK).cast("long"))))
+        cut = cut.select(F.col("sid").alias("own"), F.col("pos").alias("x"), "rest", "lo", "hi", "block")
+        rows = self.rows_near(cut, ["sid", "pos", "lcp"]).join(cut, "block").where("rk >= lo AND rk < hi AND (rk = lo OR lcp <= rest)")
+        n = F.coalesce(F.lead("rk").over(Window.partitionBy("own", "x").orderBy("rk")), "hi") - F.col("rk")
+        rows = materialize(rows.select("own", "x", "rest", "lo", "sid", F.col("pos").cast("int").alias("pos"), n.alias("n")))
+        theirs = self.sequences.select("sid", collated(F.col("seq")).cast("binary").alias("raw"))
+        pairs = rows.join(raw.withColumnRenamed("sid", "own"), "own").join(theirs, "sid")
+        pairs = pairs.withColumn("same", same_letters(F.col("mine"), F.col("x"), F.col("raw"), F.col("pos"), F.least("rest", F.length("raw") - F.col("pos")), bits))
+        letter = lambda c, at: F.substring(F.col(c), at + F.col("same") + 1, F.lit(1))  # noqa: E731  # empty behind the end, which sorts first
+        before = letter("raw", F.col("pos")) <= letter("mine", F.col("x"))
+        placed = pairs.groupBy(F.col("own").alias("sid"), F.col("x").alias("pos"), "lo").agg(F.sum(F.when(before, F.col("n")).otherwise(0)).alias("less"))
+        return materialize(placed.select("sid", "pos", (F.col("lo") + F.col("less")).alias("at")).unionByName(outside.select("sid", "pos", "at")))
+
+    def append(self, sources: DataFrame, path: str) -> "SearchIndex":
+        """Write this order with the sequences of sources (src_id from 0, name, seq) added, to path.
+
+        The added suffixes are ordered among themselves and then placed among the rows that are there, which keep their
+        order: a row moves by the added ones before it, counted block by block. Common prefixes and keys are found anew
+        only for added rows and the rows behind them.
+        """
+        spark = self.sa.sparkSession
+        top = self.sequences.agg(F.max("src_id")).first()[0]
+        shift = 0 if top is None else top + 1
+        added = Index.build(sources.withColumn("src_id", F.col("src_id") + shift))
+        fresh = materialize(added.sequences)
+        ranks = self.ranks(fresh.select("sid", "seq"))
+        new = added.sa.join(ranks.withColumn("pos", F.col("pos").cast("long")), ["sid", "pos"])
+        new = materialize(new.select((F.col("rk") + F.col("at")).alias("rk"), "sid", "pos", "sym", "at"))
+        block = lambda c: (F.col(c) / BLOCK).cast("long")
+        per = new.groupBy(block("at").alias("block")).agg(F.count("*").alias("n"))
+        every = spark.range(0, self.total // BLOCK + 1).select(F.col("id").alias("block")).join(per, "block", "left").select("block", F.coalesce("n", F.lit(0)).alias("n"))
+        base = sums_before(every, ["n"]).withColumnRenamed("n", "base").join(per, "block", "left").select("block", "base", F.col("n").isNotNull().alias("touched"))
+        old = self.sa.withColumn("block", block("rk")).join(materialize(base), "block")
+        still = old.where("not touched").withColumn("rk", F.col("rk") + F.col("base"))
+        marks = new.select(block("at").alias("block"), F.col("at").alias("rk"), F.lit(0).alias("kind"))
+        moved = old.where("touched").withColumn("kind", F.lit(1)).unionByName(marks, allowMissingColumns=True)
+        moved = moved.withColumn("more", F.count_if(F.col("kind") == 0).over(Window.partitionBy("block").orderBy("rk", "kind"))).where("kind = 1").withColumn("rk", F.col("rk") + F.col("base") + F.col("more"))
+        names = ["rk", "sid", "pos", "sym", "lcp", "key"]
+        sequences = self.sequences.unionByName(fresh.select(self.sequences.columns))
+        rows = materialize(still.select(names).unionByName(moved.select(names)).unionByName(new.select("rk", "sid", "pos", "sym"), allowMissingColumns=True))
+        # Only rows whose neighbour is another one than before: the added ones, and those behind them.
+        changed = materialize(new.select("rk").unionByName(new.select((F.col("rk") + 1).alias("rk"))).distinct())
+        here = rows.join(changed, "rk", "left_semi").select("rk", "sid", F.col("pos").cast("int").alias("pos"))
+        prior = rows.withColumn("rk", F.col("rk") + 1).join(changed, "rk", "left_semi").select("rk", F.col("sid").alias("other"), F.col("pos").cast("int").alias("at"))
+        bits = bits_for(sequences.agg(F.max(F.length("seq"))).first()[0])
+        raw = sequences.select("sid", collated(F.col("seq")).cast("binary").alias("raw"))
+        pairs = here.join(prior, "rk", "left").join(raw, "sid").join(raw.select(F.col("sid").alias("other"), F.col("raw").alias("raw2")), "other", "left")
+        same = same_letters(F.col("raw"), F.col("pos"), F.col("raw2"), F.col("at"), F.least(F.length("raw") - F.col("pos"), F.length("raw2") - F.col("at")), bits)
+        pairs = pairs.select("rk", F.substring(F.col("raw"), F.col("pos") + 1, F.lit(KEY)).cast("string").alias("begin"), F.when(F.col("other").isNull(), 0).otherwise(same).alias("common"))
+        pairs = materialize(pairs)
+        rows = rows.join(pairs, "rk", "left").select(
+            "rk", "sid", "pos", "sym", F.coalesce("common", "lcp").alias("lcp"), F.when(F.col("common").isNull(), F.col("key")).when(F.col("common") < KEY, F.col("begin")).alias("key")
+        )
+        sequences.write.parquet(f"{path}/sequences")
+        self.write_order(rows, path, self.kept)
+        return SearchIndex.load(spark, path, self.kept)
+
+    @staticmethod
+    def write_order(sa: DataFrame, path: str, kept: tuple[int, ...]) -> None:
+        sa.repartitionByRange("rk").sortWithinPartitions("rk").write.option("parquet.block.size", 16 << 20).parquet(f"{path}/sa")
+        out = SearchIndex(None, sa.sparkSession.read.parquet(f"{path}/sa"))
+        for k in kept:
+            out.intervals(k).repartitionByRange("kmer").sortWithinPartitions("kmer").write.parquet(f"{path}/stretches/k={k}")
 
     def present(self, queries: DataFrame, min_len: int) -> DataFrame:
         """The rows of queries that share min_len symbols with the reference."""

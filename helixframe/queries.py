@@ -195,6 +195,21 @@ def kount_multi_indexed(spark, sf_dir):
     return search.kount([saved_order(spark, sf_dir), saved_order(spark, sf_dir, "conversations")], 13, 10)
 
 
+def mem_pos_indexed(spark, sf_dir):
+    """mem with places, the first three in suffix order."""
+    out = saved_order(spark, sf_dir).mem_positions(asked(spark, sf_dir), 19, 1, 3)
+    p = out.select("name", "st", "en", "cnt", F.posexplode("pos").alias("i", "p"))
+    return longs(p.select("name", "st", "en", "cnt", "i", "p.ctg", "p.strand", "p.pos"), "st", "en", "i")
+
+
+def append(spark, sf_dir):
+    """The turns of others than the user added to the saved order of the user's turns."""
+    rows, path = table(spark, sf_dir, "conversations"), shared_dir(spark)
+    user, other = (turns(rows.where(w)) for w in ("role = 'user'", "coalesce(role, '') <> 'user'"))
+    SearchIndex.save(Index.build(user), f"{path}/user")
+    return SearchIndex.load(spark, f"{path}/user").append(other, f"{path}/both").sa.select("rk", "sym")
+
+
 def bwt_text(spark, sf_dir):
     """A BWT written as plain text and read back."""
     path = shared_dir(spark)
@@ -375,7 +390,7 @@ def vcf_text(spark, sf_dir):
 QUERIES = [
     nt6_encode, revcomp, fa2line, fa2kmer, kount, kount_multi, stat_symbols, sa_order, bwt, plain_bwt, bwt_runs, stat, acc, lf, rank, get, rlo_bwt, rclo_bwt,
     ssa_sample, merge, from_bwt, locate_rows, count, locate, suffix, presence, mem, mem_minocc, mem_old, common_prefix, mem_indexed, mem_minocc_indexed, count_indexed,
-    suffix_indexed, presence_indexed, kount_indexed, kount_multi_indexed, bwt_text, fastx_text, lines_text, names_text, mem_gap, mem_cov, mem_pos,
+    suffix_indexed, presence_indexed, mem_pos_indexed, append, kount_indexed, kount_multi_indexed, bwt_text, fastx_text, lines_text, names_text, mem_gap, mem_cov, mem_pos,
     sw_local, sw_e2e, all_e2e, all_e2e_hits, unmapped, hapdiv, mapflt, mapflt2, uniqmer, call, getsnp, mem_stream, e2e_text, vcf_text,
 ]
 
@@ -458,7 +473,7 @@ def oracle_sql() -> dict[str, str]:
 def same_rows() -> dict[str, str]:
     """Queries that another plan, or a way over files, brings to the rows of a query above."""
     sql = plain_sql()
-    twin = {"mem_indexed": "mem", "mem_stream": "mem", "mem_minocc_indexed": "mem_minocc", "count_indexed": "count", "suffix_indexed": "suffix", "presence_indexed": "presence", "kount_multi_indexed": "kount_multi", "bwt_text": "bwt"}
+    twin = {"mem_indexed": "mem", "mem_stream": "mem", "mem_minocc_indexed": "mem_minocc", "count_indexed": "count", "suffix_indexed": "suffix", "presence_indexed": "presence", "kount_multi_indexed": "kount_multi", "bwt_text": "bwt", "append": "merge"}
     return {name: sql[of] for name, of in twin.items()}
 
 
@@ -510,6 +525,9 @@ def plain_sql() -> dict[str, str]:
         "g AS (SELECT z.name, z.qlen, z.p, z.p - row_number() OVER (PARTITION BY z.name ORDER BY z.p) AS i FROM z LEFT JOIN y ON z.name = y.name AND z.p = y.p WHERE y.p IS NULL) SELECT name, CAST(min(p) AS BIGINT) AS st, CAST(max(p) + 1 AS BIGINT) AS en, CAST(qlen AS BIGINT) AS qlen FROM g GROUP BY name, qlen, i HAVING count(*) >= 5",
         "mem_pos": smems(19, 1) + f", n AS ({MATCHES}), y AS (SELECT n.name, n.st, n.en, n.cnt, e.ctg, e.strand, CASE WHEN e.strand = 0 THEN e.p ELSE e.rlen - e.p - (n.en - n.st) END AS pos, row_number() OVER (PARTITION BY n.name, n.st ORDER BY e.sid, e.p) - 1 AS i FROM n JOIN e ON n.name = e.name AND e.x = n.st AND e.x + e.l >= n.en) "
         "SELECT name, st, en, cnt, CAST(i AS BIGINT) AS i, ctg, CASE WHEN strand = 0 THEN '+' ELSE '-' END AS strand, CAST(pos AS BIGINT) AS pos FROM y WHERE i < 3",
+        "mem_pos_indexed": smems(19, 1) + f", n AS ({MATCHES}), y AS (SELECT n.name, n.st, n.en, n.cnt, e.ctg, e.strand, CASE WHEN e.strand = 0 THEN e.p ELSE e.rlen - e.p - (n.en - n.st) END AS pos, "
+        "row_number() OVER (PARTITION BY n.name, n.st ORDER BY translate(substr(b.seq, CAST(e.p + 1 AS INT)), 'N', 'Z') || '$', e.sid) - 1 AS i FROM n JOIN e ON n.name = e.name AND e.x = n.st AND e.x + e.l >= n.en JOIN b ON b.sid = e.sid) "
+        "SELECT name, st, en, cnt, CAST(i AS BIGINT) AS i, ctg, CASE WHEN strand = 0 THEN '+' ELSE '-' END AS strand, CAST(pos AS BIGINT) AS pos FROM y WHERE i < 3",
         "sw_local": oracles.sw_local(Scoring(), 11, 3),
         "unmapped": oracles.sw_local(Scoring(), 11, 0, True),
         "sw_e2e": oracles.sw_e2e(K, STEP, WINDOW_SCORING, 3),

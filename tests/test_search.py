@@ -104,6 +104,40 @@ def test_kount_of_several_saved_orders(spark, saved, tmp_path):
         assert sorted(map(tuple, search.kount([saved, other], k, least).collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_positions_in_suffix_order(spark, built, saved):
+    """Of the places of a match the first in the order, and all of them where there are no more."""
+    texts = {r.sid: (r.name, r.strand, r.seq) for r in built.sequences.collect()}
+    queries = sample_queries()
+    got = saved.mem_positions(asked(spark, **queries), 6, 1, 3).collect()
+    assert len(got) == saved.mem(asked(spark, **queries), 6, 1).count()
+    for r in got:
+        s = queries[r.name][r.st : r.en]
+        places = [(seq[i:].replace("N", "Z") + "$", sid, name, strand, i if not strand else len(seq) - i - len(s)) for sid, (name, strand, seq) in texts.items() for i in range(len(seq) - len(s) + 1) if seq[i : i + len(s)] == s]
+        assert r.cnt == len(places) and r.n_pos == min(3, len(places))
+        assert [tuple(p) for p in r.pos] == [(n, "+-"[d], p) for _, _, n, d, p in sorted(places)[:3]]
+
+
+@pytest.mark.parametrize("case", ["mixed", "copies", "first", "nothing", "far"])
+def test_append_against_a_build(spark, built, saved, tmp_path, case, monkeypatch):
+    seqs = sample_sequences()
+    new = {
+        "mixed": [seqs[0][3:50] + "ACGTAC", "", "NAN", seqs[3], "G", "A" * 61, "TTTTTTTTTTTTTT"],
+        "copies": [seqs[0], seqs[0], seqs[5], seqs[8], ""],
+        "first": ["A" * 200, "AAAA"],
+        "nothing": [],
+        "far": ["NNNNNNNN", "TTTTTTTT", "C"],
+    }[case]
+    monkeypatch.setattr(search, "BLOCK", 64)
+    rows = spark.createDataFrame([(i, f"new{i}", s) for i, s in enumerate(new)], "src_id long, name string, seq string")
+    grown = saved.append(rows, str(tmp_path / "g"))
+    whole = Index.build(sources(spark, *seqs, *new))
+    want = common_prefixes(whole.sequences, whole.sa.persist()).orderBy("rk").collect()
+    got = grown.sa.orderBy("rk").collect()
+    assert [(r.rk, r.sid, r.pos, r.sym, r.lcp) for r in got] == [(r.rk, r.sid, r.pos, r.sym, r.lcp) for r in want]
+    texts = {r.sid: r.seq.replace("N", "Z") for r in whole.sequences.collect()}
+    assert all(r.key == (texts[r.sid][r.pos : r.pos + 32] if r.lcp < 32 else None) for r in got)
+
+
 def test_empty_order(spark, tmp_path):
     SearchIndex.save(Index.build(sources(spark)), str(tmp_path / "e"))
     index = SearchIndex.load(spark, str(tmp_path / "e"))
