@@ -49,6 +49,16 @@ def test_order_against_brute_force(index):
     assert [(r.sid, r.pos, r.sym) for r in index.sa.orderBy("rk").collect()] == brute(seqs)
 
 
+def test_order_by_ranges(spark, index, monkeypatch):
+    """The same order where every bucket and group counts as too large for a window, half of the table being equal sequences."""
+    from helixframe.plans import suffix_order
+
+    monkeypatch.setattr(suffix_order, "MOST", 0)
+    seqs = ["ACGTTGCATGCCATAGCATTACGATCGATCGGATTAACGGTACGATTT"] * 12 + ["A" * 150, "AC" * 60, "", "NNNN"] + [r.seq for r in index.sequences.where("strand = 0 and sid < 16").collect()]
+    out = Index.build(sources(spark, *seqs))
+    assert [(r.sid, r.pos, r.sym) for r in out.sa.orderBy("rk").collect()] == brute({r.sid: r.seq for r in out.sequences.collect()})
+
+
 def test_lf_runs_stat_rank(spark, index):
     rows = index.sa.orderBy("rk").collect()
     bwt = "".join(r.sym for r in rows)
