@@ -209,9 +209,10 @@ def both_strands_of(k: int, step: int, sc: Scoring) -> str:
     )
 
 
-def all_e2e(k: int, step: int, sc: Scoring) -> str:
+def all_e2e(k: int, step: int, sc: Scoring, max_total: int | None = None) -> str:
+    listed = f" FILTER (coalesce(before, 0) < {max_total})" if max_total else ""
     return both_strands_of(k, step, sc) + (
-        " SELECT n.qname, n.strand, CAST(length(n.q) AS BIGINT) AS qlen, count(rs) AS n_allele, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS n_out, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total FROM n LEFT JOIN r ON n.qname = r.qname AND n.strand = r.strand GROUP BY ALL"
+        f" SELECT n.qname, n.strand, CAST(length(n.q) AS BIGINT) AS qlen, count(rs) AS n_allele, CAST(coalesce(sum(cnt){listed}, 0) AS BIGINT) AS n_out, CAST(coalesce(sum(cnt), 0) AS BIGINT) AS total FROM n LEFT JOIN r ON n.qname = r.qname AND n.strand = r.strand GROUP BY ALL"
     )
 
 
