@@ -42,6 +42,8 @@ def write_tables(spark, path, rows, items, labels, schema=DOCS, docs=None):
     (docs if docs is not None else spark.createDataFrame(rows, schema)).repartition(3).write.parquet(f"{path}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    vectors = [(i, [float(i % 7), i * 0.25, 1.0], 0) for i in range(20)] if labels else []
+    spark.createDataFrame(vectors, "vec_id long, embedding array<float>, label int").write.parquet(f"{path}/embeddings.parquet")
     return str(path)
 
 
