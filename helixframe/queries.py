@@ -14,6 +14,7 @@ from .functions.alphabet import encode, reverse_complement
 from .functions.dp import Scoring
 from .operators import align, exact, kmers, posthoc, search
 from .operators.index import BLOCK, Index
+from .operators.sampled import SampledOrder
 from .operators.search import SearchIndex
 from .plans.common_prefix import common_prefixes
 from .plans.lineage import materialize, shared_dir
@@ -253,6 +254,15 @@ def locate_rows(spark, sf_dir):
     return index.locate(at, 3)
 
 
+def locate_sampled(spark, sf_dir):
+    """Suffixes between the first row of every sequence and the next four, from the BWT and every 32nd position alone."""
+    index = conversation_index(spark, sf_dir)
+    index.sa, path = materialize(index.sa), shared_dir(spark)
+    SampledOrder.save(index, path)
+    at = index.sa.where("pos = 0").select(F.col("sid").alias("id"), F.col("rk").alias("lo"), (F.col("rk") + 5).alias("hi"))
+    return SampledOrder.load(spark, path).locate(at)
+
+
 def count(spark, sf_dir):
     return exact.count(asked(spark, sf_dir), subject(spark, sf_dir))
 
@@ -389,7 +399,7 @@ def vcf_text(spark, sf_dir):
 
 QUERIES = [
     nt6_encode, revcomp, fa2line, fa2kmer, kount, kount_multi, stat_symbols, sa_order, bwt, plain_bwt, bwt_runs, stat, acc, lf, rank, get, rlo_bwt, rclo_bwt,
-    ssa_sample, merge, from_bwt, locate_rows, count, locate, suffix, presence, mem, mem_minocc, mem_old, common_prefix, mem_indexed, mem_minocc_indexed, count_indexed,
+    ssa_sample, merge, from_bwt, locate_rows, locate_sampled, count, locate, suffix, presence, mem, mem_minocc, mem_old, common_prefix, mem_indexed, mem_minocc_indexed, count_indexed,
     suffix_indexed, presence_indexed, mem_pos_indexed, append, kount_indexed, kount_multi_indexed, bwt_text, fastx_text, lines_text, names_text, mem_gap, mem_cov, mem_pos,
     sw_local, sw_e2e, all_e2e, all_e2e_hits, unmapped, hapdiv, mapflt, mapflt2, uniqmer, call, getsnp, mem_stream, e2e_text, vcf_text,
 ]
@@ -510,6 +520,7 @@ def plain_sql() -> dict[str, str]:
         "merge": f"WITH u AS {turn_sql('role = ' + chr(39) + 'user' + chr(39))}, o AS {turn_sql('coalesce(role, ' + chr(39) * 2 + ') <> ' + chr(39) + 'user' + chr(39))}, "
         + order_sql(f"(SELECT * FROM {strands_sql('u')} UNION ALL SELECT * FROM {strands_sql('o', '(SELECT 2 * count(*) FROM u)')})") + " SELECT rk, sym FROM sa",
         "locate_rows": TURNS + ", a AS (SELECT sid AS id, rk AS lo FROM sa WHERE pos = 0) SELECT id, sid, pos FROM (SELECT id, sa.sid, sa.pos, row_number() OVER (PARTITION BY id ORDER BY sa.sid, sa.pos) AS i FROM a JOIN sa ON rk BETWEEN lo AND lo + 3) WHERE i <= 3",
+        "locate_sampled": TURNS + ", a AS (SELECT sid AS id, rk AS lo FROM sa WHERE pos = 0) SELECT id, rk, sa.sid, sa.pos FROM a JOIN sa ON rk BETWEEN lo AND lo + 4",
         "count": f"WITH {DOCS}, {ASKED}, {WHOLE} SELECT q.name, count(o.name) AS cnt FROM q LEFT JOIN o ON q.name = o.name GROUP BY q.name",
         "locate": f"WITH {DOCS}, {ASKED}, {WHOLE} SELECT name, ctg, CASE WHEN strand = 0 THEN '+' ELSE '-' END AS strand, CASE WHEN strand = 0 THEN p ELSE rlen - p - qlen END AS pos FROM o",
         "suffix": f"WITH {DOCS}, {ASKED}, l AS (SELECT name, seq, unnest(range(1, length(seq) + 1)) AS n FROM q), j AS (SELECT name, seq, max(n) AS n FROM l WHERE EXISTS (SELECT 1 FROM b WHERE contains(b.seq, right(l.seq, CAST(n AS INT)))) GROUP BY ALL), "
