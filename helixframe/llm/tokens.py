@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, small_batches, table
+from .common import partitions_for, shared_dir, small_batches, table
 
 END_ID = 2
 #: Words whose encodings a worker remembers; the memory is emptied beyond that.
@@ -151,7 +151,7 @@ def write_tokens(docs: DataFrame, path: str, vocabulary: str | None = None, end_
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     tie = F.xxhash64("text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions_for(spark, rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0)  # AQE may not split sorted ranges
     (
         rows.repartitionByRange(parts, "doc_id", tie)
         .sortWithinPartitions("doc_id", tie)
