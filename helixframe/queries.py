@@ -322,6 +322,8 @@ def unmapped(spark, sf_dir):
 
 #: Windows of the queries for end-to-end alignment, and the score they are held to: two mismatches or a gap of one or two bases.
 K, STEP, WINDOW_SCORING = 32, 4, Scoring(min_score=24)
+#: Shorter windows for single differing bases: with two mismatches more places of these sequences are found, and seeds of 8 bases are still sure.
+SNP_K, SNP_SCORING = 26, Scoring(min_score=18)
 
 
 def window_pair(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
@@ -344,8 +346,8 @@ def all_e2e_hits(spark, sf_dir):
     return rows
 
 
-def allele_windows(spark, sf_dir, of: str = "true") -> tuple[DataFrame, DataFrame]:
-    return align.window_hits(*plain_pair(spark, sf_dir, of), K, STEP, WINDOW_SCORING)
+def allele_windows(spark, sf_dir, of: str = "true", k: int = K, scoring: Scoring = WINDOW_SCORING) -> tuple[DataFrame, DataFrame]:
+    return align.window_hits(*plain_pair(spark, sf_dir, of), k, STEP, scoring)
 
 
 def hapdiv(spark, sf_dir):
@@ -371,7 +373,7 @@ def call(spark, sf_dir):
 
 
 def getsnp(spark, sf_dir):
-    return posthoc.getsnp(posthoc.call(*allele_windows(spark, sf_dir), 2, keep_single=True))
+    return posthoc.getsnp(posthoc.call(*allele_windows(spark, sf_dir, k=SNP_K, scoring=SNP_SCORING), 2, keep_single=True))
 
 
 def mem_stream(spark, sf_dir):
@@ -550,6 +552,6 @@ def plain_sql() -> dict[str, str]:
         "mapflt2": oracles.mapflt2(K, STEP, WINDOW_SCORING, "source = 'src0'", 4),
         "uniqmer": oracles.uniqmer(K, STEP, WINDOW_SCORING, 5, 2, 50),
         "call": oracles.call(K, STEP, WINDOW_SCORING, 2, conflicts=True),
-        "getsnp": oracles.call(K, STEP, WINDOW_SCORING, 2, keep_single=True, then=oracles.SNPS),
+        "getsnp": oracles.call(SNP_K, STEP, SNP_SCORING, 2, keep_single=True, then=oracles.SNPS),
         "vcf_text": oracles.call(K, STEP, WINDOW_SCORING, 2),
     }
