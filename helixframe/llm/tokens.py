@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import partitions_for, shared_dir, small_batches, table
+from .common import materialize, partitions_for, shared_dir, small_batches, table
 
 END_ID = 2
 #: Words whose encodings a worker remembers; the memory is emptied beyond that.
@@ -175,7 +175,8 @@ def read_tokens(spark: SparkSession, path: str, columns: tuple[str, ...] = ("doc
     from pyspark.sql import Window
 
     base = totals.select("part", (F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("base"))
-    return files.join(base, "part").withColumn("start", F.col("base") + F.col("part_start")).select(*columns)
+    # Written, so that Spark knows its bytes: the token lists are then not shuffled to meet it while it is small.
+    return files.join(materialize(base), "part").withColumn("start", F.col("base") + F.col("part_start")).select(*columns)
 
 
 def checksums(tokens: DataFrame) -> DataFrame:
