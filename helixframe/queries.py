@@ -399,14 +399,6 @@ def call_low(spark, sf_dir):
     return posthoc.call(*allele_windows(spark, sf_dir, scoring=LOW_SCORING), 2, conflicts=True)
 
 
-def all_e2e_n(spark, sf_dir):
-    """Alleles of windows of sequences that keep their N, which never score as a match."""
-    q = from_table(table(spark, sf_dir, "benchmark"), "item_id").select("name", "seq")
-    cut = kmers.fa2kmer(q, K, STEP).select(F.col("header").alias("name"), "seq")
-    _, rows = align.all_e2e(cut, both_strands(documents(spark, sf_dir)), LOW_SCORING)
-    return rows
-
-
 def mem_stream(spark, sf_dir):
     """mem over the benchmark table read as a stream of files, its results appended batch by batch."""
     schema = table(spark, sf_dir, "benchmark").schema
@@ -435,7 +427,7 @@ QUERIES = [
     ssa_sample, merge, from_bwt, locate_rows, locate_sampled, count, locate, suffix, presence, mem, mem_minocc, mem_old, common_prefix, mem_indexed, mem_minocc_indexed, count_indexed,
     suffix_indexed, presence_indexed, mem_pos_indexed, append, kount_indexed, kount_multi_indexed, bwt_text, fastx_text, lines_text, names_text, mem_gap, mem_cov, mem_pos,
     sw_local, sw_e2e, all_e2e, all_e2e_hits, unmapped, hapdiv, mapflt, mapflt2, uniqmer, call, getsnp, mem_stream, e2e_text, vcf_text,
-    sw_e2e_items, all_e2e_items, hapdiv_low, call_low, all_e2e_n,
+    sw_e2e_items, all_e2e_items, hapdiv_low, call_low,
 ]
 
 
