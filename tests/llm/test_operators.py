@@ -391,3 +391,29 @@ def test_byte_network_table_forms_agree():
     top, _ = net.pooled(x)
     plain = np.maximum(top, 0).reshape(5, -1) @ net.params[-2] + net.params[-1]
     assert np.allclose(plain, net.logits(x, net.pairs()), atol=1e-4)
+
+
+@pytest.mark.parametrize("few", [32, 2])
+def test_op10_every_pair_of_a_group_is_linked(spark, monkeypatch, few):
+    """Seven documents share a passage, and two others a passage of frequent lines with edits, whose lines stand alone in documents before and between."""
+    monkeypatch.setattr(substrings, "PAIRS", few)
+    fresh = iter(np.random.default_rng(10).permutation(200_000).tolist())
+    some = lambda n: [f"w{next(fresh)}" for _ in range(n)]
+    shared, lines = some(60), [some(15) for _ in range(4)]
+    docs = {i: some(20 + i) + shared + some(20) for i in range(1, 8)}
+    for i in range(20, 60):
+        docs[i] = some(20) + lines[i % 4] + some(20)
+    for i in (39, 60):
+        edited = [list(x) for x in lines]
+        for x in edited[:3]:
+            x[14] = f"e{i}"  # every stretch of 41 words has an edit of its own
+        docs[i] = some(30) + sum(edited, []) + some(30)
+    got = substrings.passages(spark.createDataFrame([(i, " ".join(w)) for i, w in docs.items()], "doc_id long, text string")).collect()
+    pairs, classes = {(r.doc_id, r.other_id) for r in got}, {}
+    for r in got:
+        if r.class_id is not None:  # parts of a passage that adjoin it, here its lines, have none
+            classes.setdefault((r.class_id, r.class_start), set()).update((r.doc_id, r.other_id))
+    want = {(b, a) for b in range(1, 8) for a in range(1, b)} | {(60, 39)}
+    assert (60, 39) in pairs and all(x in want or {39, 60} & set(x) for x in pairs) and classes.keys() == {(1, 21), (39, 30)}
+    linked = {(b, a) for x in classes.values() for a in x for b in x if a < b}
+    assert linked == want and (few < 7 or want <= pairs)
