@@ -28,10 +28,11 @@ from pyspark.sql import functions as F
 from .common import materialize, partitions_for, shared_dir, small_batches, table
 
 END_ID = 2
-#: Words whose encodings a worker remembers; the memory is emptied beyond that.
-REMEMBERED = 500_000
+#: Chunks whose encodings a worker remembers, just under the size at which a dict doubles (the memory is emptied beyond that), and the longest that is remembered.
+REMEMBERED, LONGEST = 1_390_000, 64
 #: Chunks of these characters only take the short way: NFC leaves them alone and lower() maps them one to one.
 PLAIN = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
+PLAIN_TEXT = re.compile(r"[ \n!-~À-ÖØ-öø-ÿ]*")
 PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[!-/:-`{-~]+")
 
 
@@ -67,44 +68,48 @@ def byte_letters() -> list[str]:
     return [chr(b if b in plain else next(others)) for b in range(256)]
 
 
-class WordEncoder:
-    """Encodes texts by their space-separated chunks, each distinct chunk once: the tokenizer never joins across white space.
+class Chunks(dict):
+    """Ids of chunks, encoded where they are first asked for.
 
     A chunk of plain characters is split by the tokenizer's own pattern and each piece handed to its BPE model; any
     other chunk goes through the whole tokenizer.
     """
 
-    def __init__(self, path: str):
-        from tokenizers import Tokenizer
+    def __init__(self, whole):
+        self.whole, self.model, self.letters = whole, whole.model, byte_letters()
+        self.ids = [i.to_bytes(4, "little") for i in range(1 + max(whole.get_vocab().values()))]
+
+    def __missing__(self, chunk: str) -> bytes:
+        if not PLAIN.fullmatch(chunk) or "<|" in chunk:
+            got = b"".join([self.ids[i] for i in self.whole.encode(chunk, add_special_tokens=False).ids]) if chunk else b""
+        elif (lower := chunk.lower()) != chunk:
+            got = self[lower]
+        elif not chunk.isalpha() and len(pieces := PIECE.findall(chunk)) > 1:
+            got = b"".join(map(self.__getitem__, pieces))
+        else:
+            word = chunk if chunk.isascii() else "".join(map(self.letters.__getitem__, chunk.encode()))
+            got = b"".join([self.ids[t.id] for t in self.model.tokenize(word)])
+        if len(chunk) <= LONGEST:
+            self[chunk] = got
+        return got
 
-        self.whole = Tokenizer.from_file(path)
-        self.model, self.known, self.letters = self.whole.model, {"": b""}, byte_letters()
 
-    def piece(self, piece: str) -> bytes:
-        got = self.known.get(piece)
-        if got is None:
-            word = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-            got = self.known[piece] = np.array([t.id for t in self.model.tokenize(word)], "<u4").tobytes()
-        return got
+class WordEncoder:
+    """Encodes texts by their space-separated chunks, each distinct chunk once: the tokenizer never joins across white space."""
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-    def chunk(self, chunk: str) -> bytes:
-        if PLAIN.fullmatch(chunk) and "<|" not in chunk:
-            return b"".join(map(self.piece, PIECE.findall(chunk.lower())))
-        return np.array(self.whole.encode(chunk, add_special_tokens=False).ids, "<u4").tobytes()
+        self.known = Chunks(Tokenizer.from_file(path))
 
     def encode(self, text: str) -> bytes:
         """The ids of text as little-endian unsigned 32-bit integers."""
-        chunks = text.replace("\n", " ").split(" ")
-        known = self.known
-        try:
-            return b"".join(map(known.__getitem__, chunks))
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-                known[""] = b""
-            for c in set(chunks).difference(known):
-                known[c] = self.chunk(c)
-            return b"".join(map(known.__getitem__, chunks))
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        # A plain text is put in lower case at once, so that fewer chunks differ.
+        if PLAIN_TEXT.fullmatch(text) and "<|" not in text:
+            text = text.lower()
+        return b"".join(map(self.known.__getitem__, text.replace("\n", " ").split(" ")))
 
 
 class WholeEncoder:
