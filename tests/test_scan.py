@@ -9,6 +9,7 @@ from helixframe.functions import scan
 from helixframe.functions.dp import Scoring, local_bounds, local_scores, padded
 from helixframe.operators import align as al
 from helixframe.operators import exact, rare
+from helixframe.plans.lineage import discard
 from helixframe.sources.sequences import both_strands
 
 
@@ -83,3 +84,25 @@ def test_no_position_of_the_reference_is_shuffled(spark):
             assert shuffled(spark) - before < 5 * bases
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_append_leaves_no_scratch_tables(spark, tmp_path):
+    """What stays in the shared folder after building, saving and adding is what was asked for, and small tables by block."""
+    from pathlib import Path
+
+    from helixframe.operators.index import Index
+    from helixframe.operators.search import SearchIndex
+
+    def shared() -> dict[str, set[str]]:
+        return {str(p): set(spark.read.parquet(str(p)).columns) for p in (Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")) / "_shared").glob("helix-*") if list(p.glob("*.parquet"))}
+
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("ACGT") for _ in range(80)) for _ in range(12)]
+    before = shared()
+    index = Index.build(sources(spark, *texts[:8]))
+    SearchIndex.save(index, str(tmp_path / "a"))
+    discard(index.sa)
+    out = SearchIndex.load(spark, str(tmp_path / "a")).append(sources(spark, *texts[8:]), str(tmp_path / "b"))
+    left = [c for p, c in shared().items() if p not in before]
+    assert not [c for c in left if {"sid", "pos"} & c]
+    assert out.sa.count() == 81 * 24
